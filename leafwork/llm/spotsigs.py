@@ -76,17 +76,19 @@ def _next_documents(rows: DataFrame) -> DataFrame:
 def edited(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     """For each document its fingerprint, and that of its text with the last quarter replaced by the start of the next document, with likenesses."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    rows = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("key"), F.xxhash64(text).alias("tie"), text.alias("text"))
     order = _next_documents(rows.select("key", "tie", F.char_length("text").cast("long").alias("n_chars")))
-    base = rows.withColumn("sigs", signatures(F.col("text"), chain))
-    one = base.withColumn("nth", F.row_number().over(Window.partitionBy("key", "tie").orderBy("key"))).where("nth = 1")
+    # both joins read the same columns of rows, dealt by the same keys, so that texts are shuffled once; signatures are made after that
+    again = F.lag(F.lit(True)).over(Window.partitionBy("key", "tie").orderBy("key"))
+    one = rows.withColumn("again", again).where("again is null")
     o, b = order.alias("o"), one.alias("b")
     quarter = F.floor(F.col("o.n_chars") / 4).cast("int")
-    ahead = o.join(b, (F.col("o.next_key") == F.col("b.key")) & (F.col("o.next_tie") == F.col("b.tie"))).select(
-        F.col("o.key").alias("key"), F.col("o.tie").alias("tie"), "n_chars", F.substring(F.col("b.text"), F.lit(1), quarter).alias("more"), F.col("b.sigs").alias("next_sigs"))
-    both = base.join(ahead, ["key", "tie"])
+    ahead = o.join(b.hint("shuffle_merge"), (F.col("o.next_key") == F.col("b.key")) & (F.col("o.next_tie") == F.col("b.tie"))).select(
+        F.col("o.key").alias("key"), F.col("o.tie").alias("tie"), "n_chars", F.substring(F.col("b.text"), F.lit(1), quarter).alias("more"), signatures(F.col("b.text"), chain).alias("next_sigs"))
+    both = rows.join(ahead.hint("shuffle_merge"), ["key", "tie"])
     kept = F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - F.floor(F.col("n_chars") / 4)).cast("int"))
-    new = both.withColumn("new", F.concat(kept, F.col("more"))).select("doc_id", "n_chars", F.sha2("new", 256).alias("edited_sha256"), "sigs", "next_sigs", signatures(F.col("new"), chain).alias("new_sigs"))
+    doc_id = F.nullif(F.col("key"), F.lit(_NO_ID)).alias("doc_id")
+    new = both.withColumn("new", F.concat(kept, F.col("more"))).select(doc_id, "n_chars", F.sha2("new", 256).alias("edited_sha256"), signatures(F.col("text"), chain).alias("sigs"), "next_sigs", signatures(F.col("new"), chain).alias("new_sigs"))
     return new.select("doc_id", "n_chars", "edited_sha256", written_form(F.col("sigs")).alias("fingerprint"), written_form(F.col("new_sigs")).alias("edited_fingerprint"), likeness(F.col("sigs"), F.col("new_sigs")).alias("near_edited"), likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"))
 
 

@@ -108,18 +108,18 @@ class Trees:
 
 
 def sample(docs: DataFrame, most_docs: int = DOCS_PER_LANGUAGE) -> DataFrame:
-    """(lang, text): about most_docs texts of each language, chosen by a hash of doc_id from all rows of docs with a language and a text."""
+    """(lang, text, h): about most_docs texts of each language, chosen by a hash of doc_id from all rows of docs with a language and a text."""
     of = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64(F.lit(4), "doc_id").alias("h"))
-    counts = of.groupBy("lang").agg(F.count("*").alias("n"))
-    keep = of.join(counts, "lang").where(F.pmod("h", F.lit(1_000_003)) / F.lit(1_000_003.0) < F.lit(float(most_docs)) / F.col("n"))
-    return keep.select("lang", "text", "h")
+    counts = of.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row a language
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], most_docs / r["n"])]) if counts else F.create_map().cast("map<string,double>")
+    return of.where(F.pmod("h", F.lit(1_000_003)) / F.lit(1_000_003.0) < share[F.col("lang")])
 
 
 def learn(docs: DataFrame, most_docs: int = DOCS_PER_LANGUAGE, most_bytes: int = BYTES_PER_LANGUAGE) -> Trees | None:
     """Trees from a sample of at most most_bytes of text a language (a first text may exceed it)."""
     texts: dict[str, list[str]] = {}
     sizes: dict[str, int] = {}
-    for r in sample(docs, most_docs).orderBy("h", "text").toLocalIterator():
+    for r in sorted(sample(docs, most_docs).collect(), key=lambda r: (r["h"], r["text"])):  # about most_docs rows a language
         n = len(r["text"].encode("utf-8", "surrogatepass"))
         if sizes.get(r["lang"], 0) + n <= most_bytes or r["lang"] not in texts:
             texts.setdefault(r["lang"], []).append(r["text"])

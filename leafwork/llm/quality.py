@@ -78,8 +78,8 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_vectors(docs: DataFrame) -> np.ndarray:
     """Unit vector of each bucket (zero for unused ones), from all texts of docs. Its size is fixed by BUCKETS and DIM."""
     spark = docs.sparkSession
-    slots = max(1, spark.sparkContext.defaultParallelism)  # one partial sum a slot, not one a split
-    parts = docs.select("text").coalesce(slots).mapInArrow(_contexts, "block int, sums binary")
+    most = 4 * max(1, spark.sparkContext.defaultParallelism)  # partial sums for a few tasks a slot, not for every split
+    parts = docs.select("text").coalesce(most).mapInArrow(_contexts, "block int, sums binary")
     sums = parts.repartition("block").mapInArrow(_added, "block int, sums binary").toArrow()
     out = np.zeros((BUCKETS // _BLOCK, _BLOCK * DIM))
     for i, raw in zip(sums["block"].to_pylist(), sums["sums"].to_pylist()):

@@ -27,6 +27,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from leafwork.llm.common import long_rows
+
 #: Pre-tokenizer pattern of byte-level BPE vocabularies of this kind (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _CACHE = 250_000
@@ -70,6 +72,7 @@ class ByteBPE:
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.wide = np.uint32 if size > 65_536 else np.uint16
         self.cache: dict[str, tuple[bytes, str]] = {}
+        self.piece_cache: dict[str, tuple[bytes, str]] = {}
 
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many pieces in one flat array, and the end of each piece in it."""
@@ -132,38 +135,37 @@ class ByteBPE:
         return [first, *out] if first else out
 
     def learn_chunks(self, chunks: list[str]) -> dict[str, tuple[bytes, str]]:
-        """Ids (as bytes) and their decimal text for chunks that are not in the cache."""
-        out = {c: (self.added[c],) for c in chunks if c in self.added}
+        """Ids (as bytes) and their decimal text for chunks that are not in the cache; pieces have a cache of their own."""
         plain = [c for c in chunks if c not in self.added]
-        cuts = [self.pieces.findall(c) for c in plain]
-        index: dict[str, int] = {}
-        for c in cuts:
-            for p in c:
-                index.setdefault(p, len(index))
-        flat, ends = self.merge([p.encode("utf-8", "surrogatepass") for p in index])
-        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        flat, begins, ends = flat.tolist(), begins.tolist(), ends.tolist()
+        cuts = list(map(self.pieces.findall, plain))
+        known = self.piece_cache
+        fresh = list(set().union(*cuts) - known.keys()) if cuts else []
+        flat, ends = self.merge([p.encode("utf-8", "surrogatepass") for p in fresh])
+        raw, text, width = flat.astype(self.wide).tobytes(), list(map(str, flat.tolist())), np.dtype(self.wide).itemsize
+        ends = ends.tolist()
+        made = {p: (raw[width * a : width * b], ",".join(text[a:b])) for p, a, b in zip(fresh, [0, *ends], ends)}
+        get = known.get
+        out = {c: (np.array([i], self.wide).tobytes(), str(i)) for c in chunks if (i := self.added.get(c)) is not None}
         for c, ps in zip(plain, cuts):
-            places = [index[p] for p in ps]
-            out[c] = tuple(x for i in places for x in flat[begins[i] : ends[i]])
-        wide = self.wide
-        return {c: (np.array(ids, wide).tobytes(), ",".join(map(str, ids))) for c, ids in out.items()}
+            got = [get(p) or made[p] for p in ps]
+            out[c] = got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), ",".join([g[1] for g in got]))
+        if len(known) < _CACHE:
+            known.update(made)
+        return out
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """For each text: its ids as little-endian unsigned integers, and as decimals joined by commas."""
         cache = self.cache
-        for at in range(0, len(texts), 256):
-            cuts = [self.cut(t) for t in texts[at : at + 256]]
+        for at in range(0, len(texts), 1024):
+            cuts = [self.cut(t) for t in texts[at : at + 1024]]
             fresh = set().union(*cuts) - cache.keys() if cuts else set()
-            known = cache
-            if fresh:
-                extra = self.learn_chunks(list(fresh))
-                if len(cache) < _CACHE:
-                    cache.update(extra)
-                else:
-                    known = _Two(extra, cache)
+            extra = self.learn_chunks(list(fresh)) if fresh else {}
+            if len(cache) < _CACHE:
+                cache.update(extra)
+                extra = {}
+            get = cache.get
             for chunks in cuts:
-                pairs = list(map(known.__getitem__, chunks))
+                pairs = [get(c) or extra[c] for c in chunks] if extra else list(map(cache.__getitem__, chunks))
                 yield b"".join([p[0] for p in pairs]), ",".join([p[1] for p in pairs])
 
     def decode(self, ids: np.ndarray) -> str:
@@ -174,21 +176,6 @@ class ByteBPE:
         return self.bytes[where].tobytes().decode("utf-8", "replace")
 
 
-class _Two(dict):
-    """A batch's own entries before those of the cache."""
-
-    def __init__(self, own: dict, cache: dict):
-        super().__init__(own)
-        self.cache = cache
-
-    def __missing__(self, key):
-        return self.cache[key]
-
-    def __getitem__(self, key):  # map() over the bound method does not consult __missing__ of dict.__getitem__ otherwise
-        got = self.get(key)
-        return self.cache[key] if got is None else got
-
-
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> ByteBPE:
     return ByteBPE(path)
@@ -223,5 +210,6 @@ def _encoder(path: str, texts_too: bool):
 
 def encoded(docs: DataFrame, path: str, texts_too: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, and with texts_too the ids and the decoded text."""
+    long_rows(docs.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * texts_too
     return docs.select("doc_id", "text").mapInArrow(_encoder(path, texts_too), schema)

@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def long_rows(spark: SparkSession) -> None:
+    """Arrow batches of at most 2,000 rows, where the session has the default of 10,000: rows hold whole documents here."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "2000")
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir; only where that is unset (tests) a local one is set."""
     base = spark.conf.get("spark.checkpoint.dir", None)

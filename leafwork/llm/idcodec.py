@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import discard, written
+from leafwork.llm.common import discard, long_rows, written
 
 END = 1
 LIMIT = 18
@@ -305,6 +305,7 @@ class Archive:
 
 def write(docs: DataFrame, path: str, block_ids: int = BLOCK_IDS) -> Archive:
     """Tokenize every text, append the end id and write the blocks in ascending doc_id order."""
+    long_rows(docs.sparkSession)
     spark = docs.sparkSession
     both = written(docs.select("doc_id", "text").mapInArrow(_tokenized(path), "doc_id long, n long, tie long, ids binary, id int, kind string"), "kind", compression="none")
     counts = both.where("kind = 'count'").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # at most the vocabulary

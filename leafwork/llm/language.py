@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import fold, pieces
+from leafwork.llm.common import fold, long_rows, pieces
 
 ORDER = 3
 UNIT = 1 << 16
@@ -150,6 +150,7 @@ def _scorer(trees):
 
 def predict(docs: DataFrame, trees: Trees | None) -> DataFrame:
     """doc_id, lang_pred, score, bits_per_byte of every whole text."""
+    long_rows(docs.sparkSession)
     spark: SparkSession = docs.sparkSession
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select("doc_id", "text", lettered.alias("lettered"))
@@ -167,6 +168,7 @@ def identified(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
 
 def keep_known(docs: DataFrame, trees: Trees | None, reject_bits: float = REJECT_BITS) -> DataFrame:
     """The rows whose text has a letter and a shortest code below reject_bits a byte; all columns pass through."""
+    long_rows(docs.sparkSession)
     if trees is None:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     shared, where = docs.sparkSession.sparkContext.broadcast(trees), docs.columns.index("text")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import written
+from leafwork.llm.common import long_rows, written
 
 LEAST_WORDS = 6
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?![ \t\r\f\v\n.!?]|\Z)[^.!?\n]*)*[.!?]*[ \t\r\f\v]*")
@@ -80,6 +80,7 @@ def _units(least: int):
 
 def repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """One row for each removed unit: doc_id, th (text hash), start_char, end_char, n_words, digest, first_doc_id, first_start of the kept occurrence."""
+    long_rows(docs.sparkSession)
     found = written(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_units(least), _UNITS))
     rank = F.struct("doc_id", "th", "start")
     first = found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last")

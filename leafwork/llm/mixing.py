@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import written
+from leafwork.llm.common import long_rows, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -116,7 +116,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, most: in
     counts = some.groupBy("source", "size", "part").agg(F.count("*").alias("c"))
     before = counts.withColumn("before", F.sum("c").over(Window.partitionBy("source", "size").orderBy("part")) - F.col("c")).drop("c")
     w = wanted.alias("w")
-    bounds = before.alias("b").join(w, F.col("b.source").eqNullSafe(F.col("w.source")) & (F.col("b.size") == F.col("w.size"))).select("b.source", "b.size", "b.part", "before", "source_size", "target", "rounds", "more").alias("p")
+    bounds = before.alias("b").join(w.hint("merge"), F.col("b.source").eqNullSafe(F.col("w.source")) & (F.col("b.size") == F.col("w.size"))).select("b.source", "b.size", "b.part", "before", "source_size", "target", "rounds", "more").alias("p")
     on = F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.size") == F.col("p.size")) & (F.col("d.part") == F.col("p.part"))
     copies = F.col("rounds") + (F.col("before") + F.col("nth") <= F.col("more")).cast("int")
     return nth.alias("d").join(bounds, on).select("d.doc_id", "d.source", "d.size", "source_size", "target", copies.alias("copies"), (copies * F.col("d.size")).cast("long").alias("taken"), F.col("d.draw").alias("draw"), F.col("d.tie").alias("tie"))

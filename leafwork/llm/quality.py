@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import fold, pieces, span_hashes, word_spans, written
+from leafwork.llm.common import fold, long_rows, pieces, span_hashes, word_spans, written
 
 BUCKETS, DIM, NONZERO = 1 << 16, 64, 4
 #: Bound of the sample of labelled documents that the network is fitted on.
@@ -181,6 +181,7 @@ def fit(vecs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Networ
 
 def scored(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score, predicted for every document; labels only from rows that are not held out."""
+    long_rows(docs.sparkSession)
     spark: SparkSession = docs.sparkSession
     vecs = pooled(docs, word_vectors(docs))
     net = spark.sparkContext.broadcast(fit(vecs, labels.where(fold("doc_id", folds) != held)))

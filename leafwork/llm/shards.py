@@ -69,16 +69,29 @@ def difference(parts: list[list[int]], k: int) -> np.ndarray:
     return out
 
 
-def _local(k: int):
+def _local(k: int, most: int = 20_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         rows = pa.Table.from_batches(got)
         rows = rows.sort_by([(c, "ascending") for c in ("bytes", "h", "text_crc32", "size")])
-        places = difference([[x] + [0] * (k - 1) for x in rows["bytes"].to_pylist()], k)[:, 0]
+        # runs of groups, each differenced on its own, then the runs' partial partitions
+        bytes_, places, partials = rows["bytes"].to_numpy(), [], []
+        n = -(-len(bytes_) // most)
+        part = np.empty(len(bytes_), np.int32)
+        for i in range(n):  # every n-th group, so that large and small ones meet in each run
+            own = difference([[x] + [0] * (k - 1) for x in bytes_[i::n].tolist()], k)[:, 0]
+            places.append(own)
+            sums = [0] * k
+            for j in range(k):
+                sums[j] = int(bytes_[i::n][own == j].sum())
+            partials.append(sums)
+        renamed = difference(partials, k)
+        for i, own in enumerate(places):
+            part[i::n] = renamed[i][own]
         task = TaskContext.get().partitionId()
-        out = rows.append_column("task", pa.array(np.full(len(places), task, np.int32))).append_column("part", pa.array(places.astype(np.int32)))
+        out = rows.append_column("task", pa.array(np.full(len(part), task, np.int32))).append_column("part", pa.array(part))
         yield from out.to_batches()
 
     return run

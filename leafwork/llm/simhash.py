@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import written
+from leafwork.llm.common import long_rows, written
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _CHUNK = 1 << 16
@@ -216,6 +216,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """(doc_id, fp), written once."""
+    long_rows(docs.sparkSession)
     return written(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"))
 
 

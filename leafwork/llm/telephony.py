@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from leafwork.llm.common import written
+from leafwork.llm.common import long_rows, written
 
 RATE = 8_000
 BLOCK = 192
@@ -173,11 +173,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def media_of(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, media: each whole text as a mu-law WAV file, written to the shared folder."""
+    long_rows(docs.sparkSession)
     return written(docs.select("doc_id", "text").mapInArrow(_stored, "doc_id long, n_bytes long, media binary"))
 
 
 def described(media: DataFrame) -> DataFrame:
     """Digests and features of stored media, from the bytes read back."""
+    long_rows(media.sparkSession)
     return media.select("doc_id", "n_bytes", "media").mapInArrow(_read, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 

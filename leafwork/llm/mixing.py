@@ -53,7 +53,7 @@ def targets(sizes: dict, weights=WEIGHTS, share: float = TOTAL_SHARE, most: floa
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = 1 << 16) -> np.ndarray:
-    """How many documents of each length to take, at most counts, for a sum as near below the budget as the window's knapsack finds."""
+    """How many documents of each length to take, at most counts, for a sum as near the budget as the window's knapsack finds."""
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
@@ -67,21 +67,22 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = 1 <<
             n = min(int(counts[i] - take[i]), (left - 1) // int(lengths[i]) if lengths[i] else 0, most or left)
             take[i] += n
             left -= n * int(lengths[i])
-    # bounded knapsack over what is left, as a set of reachable sums; by[s] is the item that first reached s
-    reach, by, items, full = 1, np.full(left + 1, -1, np.int64), [], (1 << (left + 1)) - 1
-    mixed = sorted((i for i in range(len(lengths)) if 0 < lengths[i] <= left and counts[i] > take[i]), key=lambda i: (int(lengths[i]) * 2_654_435_761) % (1 << 32))
-    for i in mixed:
-        n, step = min(int(counts[i] - take[i]), left // int(lengths[i])), 1
+    # bounded knapsack over what is left, as a set of reachable sums up to one document beyond; by[s] is the item that first reached s
+    spare = [i for i in range(len(lengths)) if lengths[i] > 0 and counts[i] > take[i]]
+    top = left + min(max((int(lengths[i]) for i in spare), default=0), window)
+    reach, by, items, full = 1, np.full(top + 1, -1, np.int64), [], (1 << (top + 1)) - 1
+    for i in sorted(spare, key=lambda i: (int(lengths[i]) * 2_654_435_761) % (1 << 32)):
+        n, step = min(int(counts[i] - take[i]), top // int(lengths[i])), 1
         while n and not reach >> left & 1:
             k = min(step, n)
             new = (reach << (k * int(lengths[i]))) & full & ~reach
             if new:
-                bits = np.unpackbits(np.frombuffer(new.to_bytes(left // 8 + 1, "little"), np.uint8), bitorder="little")
+                bits = np.unpackbits(np.frombuffer(new.to_bytes(top // 8 + 1, "little"), np.uint8), bitorder="little")
                 by[np.flatnonzero(bits)] = len(items)
                 items.append((i, k))
                 reach |= new
             n, step = n - k, 2 * step
-    at = reach.bit_length() - 1
+    at = next(s for d in range(top + 1) for s in (left - d, left + d) if 0 <= s <= top and reach >> s & 1)
     while at:
         i, k = items[by[at]]
         take[i] += k

@@ -66,12 +66,14 @@ def _trimmed(text: Column) -> Column:
 
 def strip_labels_business(text: Column) -> Column:
     t = sub(text, r"(?i)^\d+\s*[a-z]?\.\s*", "")
-    t = reduce(lambda x, p: sub(x, "(?i)" + p, ""), BUSINESS_LABELS, t)
-    return _trimmed(reduce(lambda x, p: sub(x, p, ""), _PARENTHESES, t))
+    bare = reduce(lambda x, p: sub(x, p, ""), (*("(?i)" + p for p in BUSINESS_LABELS), *_PARENTHESES), t)
+    return _trimmed(F.when(t.rlike("[A-Za-z]{2}"), bare).otherwise(t))  # every label has two letters in a row
 
 
 def strip_labels_zone(text: Column) -> Column:
-    return _trimmed(reduce(lambda x, p: sub(x, "(?i)" + p, " "), ZONE_LABELS, text))
+    t = sub(text, "(?i)" + ZONE_LABELS[0], " ")
+    bare = reduce(lambda x, p: sub(x, "(?i)" + p, " "), ZONE_LABELS[1:], t)
+    return _trimmed(F.when(t.rlike("[A-Za-z]{2}"), bare).otherwise(t))  # every label but the first has two letters in a row
 
 
 def strip_labels_sql(expr: str, business: bool) -> str:

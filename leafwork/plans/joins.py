@@ -74,7 +74,7 @@ def zone_reality_check(spark, d):
 FROM (SELECT doc_id, {T.strip_labels_sql('text', False)} AS value FROM (SELECT doc_id, zone, string_agg(token, ' ' ORDER BY y0, x0, pos) AS text FROM matched WHERE page_id = 0 GROUP BY ALL)) GROUP BY doc_id""", X.WORDS, X.ZONES, MATCHED))
 def form_coverage(spark, d):
     """The flagship: for each document's first page, which zones hold text, how many of them have a plausible value, and what share is filled."""
-    t = Z.zone_text(Z.match_unique(X.words(spark, d).where("page_id = 0"), X.zones(spark))).withColumn("value", T.strip_labels_zone(F.col("text")))
+    t = Z.zone_text(Z.match_unique(X.words(spark, d, True), X.zones(spark))).withColumn("value", T.strip_labels_zone(F.col("text")))
     filled = F.col("value") != ""
     return t.groupBy("doc_id").agg(F.count("*").alias("n_fields"), F.count_if(filled).alias("n_filled"), F.count_if(filled & (F.length("value") >= 3)).alias("n_valid"), (F.count_if(filled) / F.lit(48.0)).alias("coverage"))
 
@@ -154,7 +154,7 @@ def figure_caption(spark, d):
 @query("attach_digital_text", X.with_("SELECT b.doc_id, b.seq, count(*) AS n_words, string_agg(w.token, ' ' ORDER BY w.pos) AS words FROM blocks b JOIN words w ON w.doc_id = b.doc_id AND w.page_id = 0 AND (w.x0 + w.x1) / 2 BETWEEN b.x0 - 2 AND b.x1 + 2 AND (w.y0 + w.y1) / 2 BETWEEN b.y0 - 2 AND b.y1 + 2 GROUP BY ALL", X.BLOCKS, X.WORDS))
 def attach_digital_text(spark, d):
     """Words of the page whose middle lies in a block, within two pixels."""
-    w = X.words(spark, d).where("page_id = 0").alias("w")
+    w = X.words(spark, d, True).alias("w")
     on = "w.doc_id = b.doc_id and (w.x0 + w.x1) / 2 between b.x0 - 2 and b.x1 + 2 and (w.y0 + w.y1) / 2 between b.y0 - 2 and b.y1 + 2"
     g = X.blocks(spark, d).alias("b").join(w, F.expr(on)).groupBy("b.doc_id", "b.seq").agg(F.count("*").alias("n_words"), F.array_sort(F.collect_list(F.struct("w.pos", "w.token"))).alias("t"))
     return g.select("doc_id", "seq", "n_words", F.array_join("t.token", " ").alias("words"))

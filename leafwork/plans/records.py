@@ -243,14 +243,14 @@ def texture_reclass(spark, d):
 def table_cells(spark, d):
     """Words in the cell of the nearest row and column centre; centres are regular here, so the nearest is found by arithmetic."""
     row, column = F.floor((F.col("y0") + 6) / 60).cast("long"), F.floor((F.col("x0") + 10) / 250).cast("long")
-    g = X.words(spark, d).where("page_id = 0").groupBy("doc_id", "page_id", row.alias("row_"), column.alias("col_")).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("w"))
+    g = X.words(spark, d, True).groupBy("doc_id", "page_id", row.alias("row_"), column.alias("col_")).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("w"))
     return g.select("doc_id", "page_id", "row_", "col_", F.array_join("w.token", " ").alias("text"))
 
 
 @query("table_header_rows", X.with_("SELECT doc_id, count(*) FILTER (lead_ok) AS n FROM (SELECT doc_id, bool_and(filled >= greatest(1, floor(0.6 * most))) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS lead_ok FROM (SELECT *, max(filled) OVER (PARTITION BY doc_id) AS most FROM (SELECT doc_id, (pos // 10) % 50 AS line, count(*) FILTER (length(token) > 3) AS filled FROM words WHERE page_id = 0 GROUP BY ALL))) GROUP BY doc_id", X.WORDS))
 def table_header_rows(spark, d):
     """How many rows from the top have enough filled cells."""
-    r = X.words(spark, d).where("page_id = 0").groupBy("doc_id", (F.floor(F.col("pos") / 10) % 50).alias("line")).agg(F.count_if(F.length("token") > 3).alias("filled"))
+    r = X.words(spark, d, True).groupBy("doc_id", (F.floor(F.col("pos") / 10) % 50).alias("line")).agg(F.count_if(F.length("token") > 3).alias("filled"))
     most = F.max("filled").over(Window.partitionBy("doc_id"))
     w = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     ok = F.bool_and(F.col("filled") >= F.greatest(F.lit(1), F.floor(F.col("most") * 0.6))).over(w)
@@ -260,7 +260,7 @@ def table_header_rows(spark, d):
 @query("fuzzy_match_bbox", X.with_("SELECT doc_id, pos, score FROM (SELECT doc_id, pos, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS nth FROM (SELECT w.doc_id, w.pos, least(length(w.token), length(d.t))::DOUBLE / greatest(length(w.token), length(d.t)) AS score FROM words w JOIN (SELECT doc_id, lower(token) AS t FROM words WHERE pos = 3 AND length(token) > 0) d ON d.doc_id = w.doc_id WHERE w.page_id = 0 AND length(w.token) > 0 AND (contains(lower(w.token), d.t) OR contains(d.t, lower(w.token))))) WHERE nth = 1", X.WORDS))
 def fuzzy_match_bbox(spark, d):
     """A value (here the page's fourth word) grounded in the word that contains it or lies in it, by the ratio of lengths."""
-    w = X.words(spark, d).where("page_id = 0").where(F.length("token") > 0)
+    w = X.words(spark, d, True).where(F.length("token") > 0)
     value = w.where("pos = 3").select("doc_id", F.lower("token").alias("t"))
     j = w.join(value, "doc_id").where(F.lower("token").contains(F.col("t")) | F.col("t").contains(F.lower("token")))
     score = F.least(F.length("token"), F.length("t")) / F.greatest(F.length("token"), F.length("t"))
@@ -301,7 +301,7 @@ def ui_metrics(spark, d):
 
 @query("filled_schema", X.with_("SELECT doc_id, zone, text FROM (SELECT doc_id, zone, string_agg(token, ' ' ORDER BY y0, x0, pos) AS text FROM matched WHERE page_id = 0 GROUP BY ALL) WHERE text <> ''", X.WORDS, X.ZONES, MATCHED))
 def filled_schema(spark, d):
-    t = Z.zone_text(Z.match_unique(X.words(spark, d).where("page_id = 0"), X.zones(spark)))
+    t = Z.zone_text(Z.match_unique(X.words(spark, d, True), X.zones(spark)))
     return t.where("text <> ''").select("doc_id", "zone", "text")
 
 

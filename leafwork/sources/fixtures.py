@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-PAGE_W, PAGE_H = 2550, 3300
+PAGE_W, PAGE_H, PAGE_WORDS = 2550, 3300, 500
 TYPES = ("text", "title", "list", "table", "figure", "form", "unknown")
 ZONE_TYPES = ("text", "date", "money", "npi", "phone", "checkbox", "icd", "signature")
 
@@ -23,13 +23,14 @@ def pick_sql(values: tuple, index: str) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + f"][({index}) + 1]"
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, page_id, pos, token, box and confidence of every word."""
-    d = load(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", r"[ \n]+")).alias("pos", "token"))
+def words(spark: SparkSession, sf_dir: str, first_page: bool = False) -> DataFrame:
+    """doc_id, page_id, pos, token, box and confidence of every word, or of those on first pages (the others are cut off before they become rows)."""
+    tokens = F.split("text", r"[ \n]+")
+    d = load(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.posexplode(F.slice(tokens, 1, PAGE_WORDS) if first_page else tokens).alias("pos", "token"))
     x0 = (F.col("pos") % 10) * 250 + (F.col("doc_id") * 7 + F.col("pos") * 13) % 20
     y0 = F.floor(F.col("pos") / 10) % 50 * 60 + (F.col("pos") * 5) % 12
     return d.select(
-        "doc_id", F.floor(F.col("pos") / 500).cast("long").alias("page_id"), F.col("pos").cast("long").alias("pos"), "token", x0.cast("double").alias("x0"), y0.cast("double").alias("y0"),
+        "doc_id", F.floor(F.col("pos") / PAGE_WORDS).cast("long").alias("page_id"), F.col("pos").cast("long").alias("pos"), "token", x0.cast("double").alias("x0"), y0.cast("double").alias("y0"),
         (x0 + 20 * F.length("token")).cast("double").alias("x1"), (y0 + 40).cast("double").alias("y1"), ((40 + (F.col("doc_id") * 31 + F.col("pos") * 17) % 61) / F.lit(100.0)).alias("confidence"),
     )
 

@@ -31,29 +31,48 @@ from leafwork.llm.common import long_rows, written
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _CHUNK = 1 << 16
+#: Fingerprints a document when copies are removed.
+FINGERPRINTS = 4
 
 
-def fingerprint(text: str | None, width: int = 3) -> bytes:
-    """Eight bytes, highest bit first: bits set in over half the XXH64 (seed 42) of the word shingles."""
+def fingerprints_of(text: str | None, n: int = 1, width: int = 3) -> bytes:
+    """n fingerprints of eight bytes, highest bit first: bits set in over half the hashes of the word shingles.
+
+    The first one takes the shingles' XXH64 (seed 42); the others take it mixed anew.
+    """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return bytes(8)
+        return bytes(8 * n)
     if len(words) <= width:
         shingles = [b" ".join(words)]
     else:
         shingles = list(map(b" ".join, zip(*(words[i:] for i in range(width)))))
-    digest, votes = xxhash.xxh64_digest, np.zeros(64, np.int64)
+    digest, votes = xxhash.xxh64_digest, np.zeros((n, 64), np.int64)
     for at in range(0, len(shingles), _CHUNK):
-        block = b"".join([digest(s, 42) for s in shingles[at : at + _CHUNK]])
-        bits = np.unpackbits(np.frombuffer(block, np.uint8).reshape(-1, 8), axis=1)
-        votes += bits.sum(axis=0, dtype=np.uint32)
-    return np.packbits(2 * votes > len(shingles)).tobytes()
+        h = np.frombuffer(b"".join([digest(s, 42) for s in shingles[at : at + _CHUNK]]), ">u8").astype(np.uint64)
+        for k in range(n):
+            if k:
+                h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            votes[k] += bits.sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * votes > len(shingles), axis=1).tobytes()
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        raw = b"".join([fingerprint(t.as_py()) for t in batch.column(1)])
-        yield pa.record_batch([batch.column(0), pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], names=["doc_id", "fp"])
+def fingerprint(text: str | None, width: int = 3) -> bytes:
+    return fingerprints_of(text, 1, width)
+
+
+def _fingerprints(n: int):
+    names = ["doc_id", "fp", *(f"fp{k}" for k in range(1, n))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = b"".join([fingerprints_of(t.as_py(), n) for t in batch.column(1)])
+            fps = np.frombuffer(raw, ">i8").astype(np.int64).reshape(-1, n)
+            yield pa.record_batch([batch.column(0), *(pa.array(fps[:, k].copy()) for k in range(n))], names=names)
+
+    return run
 
 
 # -- the Golay code ---------------------------------------------------------
@@ -214,25 +233,44 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def fingerprinted(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp), written once."""
+def fingerprinted(docs: DataFrame, n: int = 1) -> DataFrame:
+    """(doc_id, fp, and fp1 and so on for further fingerprints), written once."""
     long_rows(docs.sparkSession)
-    return written(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"))
+    schema = "doc_id long, fp long" + "".join(f", fp{k} long" for k in range(1, n))
+    return written(docs.select("doc_id", "text").mapInArrow(_fingerprints(n), schema))
 
 
-def near_duplicates(docs: DataFrame, most: int = 3) -> DataFrame:
-    """One row per document: doc_id, fingerprint (hex), component_id (smallest doc_id reachable)."""
-    rows = fingerprinted(docs)
+def _further(rows: DataFrame, k: int, most: int) -> DataFrame:
+    """Edges from a document's first fingerprint to a node for its k-th one, and between the latter where they link."""
+    node = lambda c: F.xxhash64(F.lit(k), F.col(c))
+    pairs = written(rows.select("fp", F.col(f"fp{k}").alias("x")).distinct())
+    linked = written(links(pairs.select(F.col("x").alias("fp")).distinct(), most))
+    shared = pairs.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x")
+    touched = shared.unionByName(linked.select(F.explode(F.array("a", "b")).alias("x"))).distinct()
+    own = pairs.join(touched, "x", "left_semi").select(F.col("fp").alias("a"), node("x").alias("b"))
+    return own.unionByName(linked.select(node("a").alias("a"), node("b").alias("b")))
+
+
+def near_duplicates(docs: DataFrame, most: int = 3, n: int = 1) -> DataFrame:
+    """One row per document: doc_id, fingerprint (hex), component_id (smallest doc_id reachable).
+
+    With n fingerprints a document, two documents link if any of their fingerprints do: each further one finds
+    part of the near copies whose first fingerprints differ in more bits.
+    """
+    rows = fingerprinted(docs, n)
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    nodes = components(links(fps, most))
+    edges = links(fps, most)
+    for k in range(1, n):
+        edges = edges.unionByName(_further(rows, k, most))
+    nodes = components(edges)
     rooted = fps.join(nodes, fps["fp"] == nodes["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_fp = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, most: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, most: int = 3, n: int = FINGERPRINTS) -> DataFrame:
     """The documents with one of each near-duplicate group: the smallest doc_id; of repeated rows of that doc_id the first by text."""
-    keep = near_duplicates(docs, most).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep")).distinct()
+    keep = near_duplicates(docs, most, n).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep")).distinct()
     kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["keep"]), "left_semi")
     return kept.withColumn("__leafwork_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__leafwork_nth = 1").drop("__leafwork_nth")

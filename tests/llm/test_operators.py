@@ -401,3 +401,31 @@ def test_pipeline(spark, docs, tmp_path):
         assert at.columns == names
     out = corpus_pipeline.run(spark, folder)
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == at.count()
+
+
+def test_further_fingerprints(spark):
+    """Near copies beyond three bits of the first fingerprint are found by a further one, and nothing else is."""
+    draw = np.random.default_rng(9)
+    base = [f"w{x}" for x in draw.integers(0, 5000, 400)]
+    texts = []
+    for i in range(40):
+        words = list(base)
+        for j in draw.integers(0, 400, 4):
+            words[j] = f"n{i}_{j}"
+        texts.append(" ".join(words))
+    texts.append(" ".join(f"z{x}" for x in draw.integers(0, 5000, 400)))
+    fps = [np.frombuffer(simhash.fingerprints_of(t, 4), ">u8") for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if any((int(a) ^ int(b)).bit_count() <= 3 for a, b in zip(fps[i], fps[j])):
+            a, b = find(i), find(j)
+            root[max(a, b)] = min(a, b)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(d, n=4).collect()} == {i: find(i) for i in range(len(texts))}
+    assert simhash.fingerprints_of(texts[0], 4)[:8] == simhash.fingerprint(texts[0])

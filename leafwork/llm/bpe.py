@@ -31,7 +31,7 @@ from leafwork.llm.common import long_rows
 
 #: Pre-tokenizer pattern of byte-level BPE vocabularies of this kind (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_CACHE = 250_000
+_CACHE = 150_000
 
 
 def _byte_symbols() -> dict[str, int]:

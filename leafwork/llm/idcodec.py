@@ -35,7 +35,7 @@ END = 1
 LIMIT = 18
 EVERY = 256
 BLOCK_IDS = 1 << 18
-_CACHE = 400_000
+_CACHE = 250_000
 #: Punctuation that is a piece of its own after letters (an apostrophe may start a piece with letters), and the first character beyond those whose lower case and composition are plain.
 _CLOSING = string.punctuation.replace("'", "")
 _LATIN = "\u0130"
@@ -184,37 +184,37 @@ class Words:
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Ids of chunks. One of Latin letters and closing punctuation falls apart into a piece for each, and letters count in lower case."""
-        halves, whole, tails = [], [], set()
+        halves, whole, tails = [], [], {}
         for c in chunks:
-            core = c.rstrip(_CLOSING)
-            if core.isalpha() and max(core) < _LATIN:
-                halves.append((c, core.lower(), tail := c[len(core) :]))
-                if tail:
-                    tails.add(tail)
+            core = c if c.isalpha() else c.rstrip(_CLOSING)
+            if core.isascii() and core.isalpha() or core.isalpha() and max(core) < _LATIN:
+                tail = c[len(core) :]
+                halves.append((c, core.lower(), tail))
+                tails[tail] = b""
             else:
                 whole.append(c)
-        tails = self._each(list(tails)) | {"": b""}
+        tails |= self._each([t for t in tails if t])
         known = self.cores
-        fresh = self._lines(list({k for _, k, _ in halves} - known.keys()))
-        out = self._each(whole)
-        for c, k, t in halves:
-            ids = known.get(k)
-            out[c] = (fresh[k] if ids is None else ids) + tails[t]
-        if len(known) < _CACHE:
-            known.update(fresh)
+        keep = len(known) < _CACHE
+        fresh = list({k for _, k, _ in halves} - known.keys())
+        known.update(self._lines(fresh))
+        out = {c: known[k] + tails[t] for c, k, t in halves}
+        out |= self._each(whole)
+        if not keep:
+            for k in fresh:
+                del known[k]
         return out
 
     def ids(self, texts: list[str]) -> list[bytes]:
         cuts = [t.replace("\n", " ").split(" ") for t in texts]
         fresh = list(set().union(*cuts) - self.cache.keys()) if cuts else []
-        if fresh:
-            extra = self._learn(fresh)
-            if len(self.cache) < _CACHE:
-                self.cache.update(extra)
-            else:
-                get, own = self.cache.get, extra.get
-                return [b"".join([own(c) if (x := get(c)) is None else x for c in cut]) for cut in cuts]
-        return [b"".join(map(self.cache.__getitem__, cut)) for cut in cuts]
+        keep = len(self.cache) < _CACHE
+        self.cache.update(self._learn(fresh) if fresh else {})
+        out = [b"".join(map(self.cache.__getitem__, cut)) for cut in cuts]
+        if not keep:
+            for c in fresh:
+                del self.cache[c]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -231,8 +231,8 @@ def _tokenized(path: str):
         counts = np.zeros(max(words.n, END + 1), np.int64)
         end = np.array([END], words.wide).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 raw = [x + end for x in words.ids([t or "" for t in part.column(1).to_pylist()])]
                 counts += np.bincount(np.frombuffer(b"".join(raw), words.wide), minlength=len(counts))
                 n = pa.array([len(x) // words.wide.itemsize for x in raw], pa.int64())

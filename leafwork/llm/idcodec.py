@@ -35,7 +35,7 @@ END = 1
 LIMIT = 18
 EVERY = 256
 BLOCK_IDS = 1 << 18
-_CACHE = 250_000
+_CACHE = 400_000
 #: Punctuation that is a piece of its own after letters (an apostrophe may start a piece with letters), and the first character beyond those whose lower case and composition are plain.
 _CLOSING = string.punctuation.replace("'", "")
 _LATIN = "\u0130"

@@ -231,8 +231,8 @@ def _tokenized(path: str):
         counts = np.zeros(max(words.n, END + 1), np.int64)
         end = np.array([END], words.wide).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
                 raw = [x + end for x in words.ids([t or "" for t in part.column(1).to_pylist()])]
                 counts += np.bincount(np.frombuffer(b"".join(raw), words.wide), minlength=len(counts))
                 n = pa.array([len(x) // words.wide.itemsize for x in raw], pa.int64())

@@ -81,9 +81,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
-def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of bytes other than ASCII white space; words end with their text. Third: the text of each word."""
-    inside = ~SPACE[raw]
+def word_spans(raw: np.ndarray, at: np.ndarray, blank: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of bytes other than blanks (ASCII white space); words end with their text. Third: the text of each word."""
+    inside = ~blank[raw]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     edges = at[1:-1][at[1:-1] < len(raw)]

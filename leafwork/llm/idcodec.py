@@ -29,13 +29,20 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import discard, long_rows, written
+from leafwork.llm.common import _ODD, discard, long_rows, pieces, word_spans, written
 
 END = 1
 LIMIT = 18
 EVERY = 256
 BLOCK_IDS = 1 << 18
+#: Most entries of the tables of chunks and of letter runs in each task's process, and bytes of the texts that are encoded at a time.
+_CHUNKS = 2_000_000
 _CACHE = 400_000
+_RUN = 6_000_000
+_BREAK = np.zeros(256, bool)
+_BREAK[[0x20, 0x0A]] = True
+#: The first k bytes of eight.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Punctuation that is a piece of its own after letters (an apostrophe may start a piece with letters), and the first character beyond those whose lower case and composition are plain.
 _CLOSING = string.punctuation.replace("'", "")
 _LATIN = "\u0130"
@@ -147,8 +154,52 @@ def read_block(code: Code, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarr
 # -- tokenizing ---------------------------------------------------------------
 
 
+class Chunks:
+    """A bounded table from chunks of at most 16 bytes to their ids: open addressing, keyed by the bytes themselves and their number."""
+
+    def __init__(self, most: int, kind: np.dtype):
+        bits = (2 * most).bit_length()
+        self.most, self.used, self.shift = most, 0, np.uint64(64 - bits)
+        self.slots = np.full(1 << bits, -1, np.int32)
+        self.low, self.high, self.size = np.zeros(most, np.uint64), np.zeros(most, np.uint64), np.zeros(most, np.uint8)
+        self.begin, self.n = np.zeros(most, np.int64), np.zeros(most, np.int32)
+        self.pool, self.filled = np.zeros(5 * most, kind), 0
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        h = (low ^ (high * np.uint64(_ODD))) * np.uint64(_ODD)
+        return (((h ^ (h >> np.uint64(32))) * np.uint64(_ODD)) >> self.shift).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The entry of each chunk, -1 for those unknown."""
+        slot = self._slot(low, high)
+        entry = self.slots[slot]
+        rest = np.flatnonzero((entry >= 0) & ((self.low[entry] != low) | (self.high[entry] != high) | (self.size[entry] != size)))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & (len(self.slots) - 1)
+            e = self.slots[slot[rest]]
+            entry[rest] = e
+            rest = rest[(e >= 0) & ((self.low[e] != low[rest]) | (self.high[e] != high[rest]) | (self.size[e] != size[rest]))]
+        return entry
+
+    def add(self, low: np.ndarray, high: np.ndarray, size: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """Distinct unknown chunks with their ids, one after the other, as far as there is room."""
+        room = min(self.most - self.used, int(np.searchsorted(np.cumsum(n), len(self.pool) - self.filled, "right")))
+        low, high, size, n = low[:room], high[:room], size[:room], n[:room]
+        new, total = np.arange(self.used, self.used + len(low), dtype=np.int32), int(n.sum())
+        self.low[new], self.high[new], self.size[new] = low, high, size
+        self.begin[new], self.n[new] = self.filled + np.cumsum(n) - n, n
+        self.pool[self.filled : self.filled + total] = ids[:total]
+        self.used, self.filled = self.used + len(new), self.filled + total
+        slot = self._slot(low, high)
+        while len(new):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = new[free]
+            lost = self.slots[slot] != new
+            new, slot = new[lost], (slot[lost] + 1) & (len(self.slots) - 1)
+
+
 class Words:
-    """Ids of texts by a tokenizer whose pre-tokenizer drops white space: encoded per chunk between spaces, chunks kept in a bounded cache."""
+    """Ids of texts by a tokenizer whose pre-tokenizer drops white space: encoded per chunk between spaces, chunks kept in bounded tables."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -161,7 +212,7 @@ class Words:
         vocab = self.tokenizer.get_vocab()
         self.closes = np.zeros(self.n, bool)
         self.closes[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.cache: dict[str, bytes] = {}
+        self.chunks = Chunks(_CHUNKS, self.wide)
         self.cores: dict[str, bytes] = {}
 
     def _each(self, chunks: list[str]) -> dict[str, bytes]:
@@ -196,7 +247,7 @@ class Words:
         tails |= self._each([t for t in tails if t])
         known = self.cores
         keep = len(known) < _CACHE
-        fresh = list({k for _, k, _ in halves} - known.keys())
+        fresh = list({k for _, k, _ in halves if k not in known})  # a difference of sets would walk all that is known
         known.update(self._lines(fresh))
         out = {c: known[k] + tails[t] for c, k, t in halves}
         out |= self._each(whole)
@@ -205,16 +256,43 @@ class Words:
                 del known[k]
         return out
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        cuts = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list(set().union(*cuts) - self.cache.keys()) if cuts else []
-        keep = len(self.cache) < _CACHE
-        self.cache.update(self._learn(fresh) if fresh else {})
-        out = [b"".join(map(self.cache.__getitem__, cut)) for cut in cuts]
-        if not keep:
-            for c in fresh:
-                del self.cache[c]
-        return out
+    def ids(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts in a buffer, one after the other, and their number for each text."""
+        starts, ends, text = word_spans(raw, at, _BREAK)
+        size = ends - starts
+        padded = np.concatenate([raw, np.zeros(16, np.uint8)])
+        eight = np.ndarray(len(raw) + 9, "<u8", padded, strides=(1,))
+        low = eight[starts] & _FIRST[np.minimum(size, 8)]
+        high = eight[starts + np.minimum(size, 8)] & _FIRST[np.clip(size - 8, 0, 8)]
+        table = self.chunks
+        entry = table.find(low, high, np.minimum(size, 255).astype(np.uint8))
+        long = np.flatnonzero(size > 16)
+        entry[long] = -1
+        fresh = np.flatnonzero(entry < 0)
+        fresh = fresh[size[fresh] <= 16]
+        fresh = fresh[np.lexsort((size[fresh], high[fresh], low[fresh]))]
+        keys = np.stack([low[fresh], high[fresh], size[fresh].astype(np.uint64)])
+        first = np.ones(len(fresh), bool)
+        first[1:] = (keys[:, 1:] != keys[:, :-1]).any(axis=0)
+        once = fresh[first]
+        entry[fresh] = table.used + np.cumsum(first) - 1
+        words = [padded[a:b].tobytes().decode() for a, b in zip(starts[once].tolist(), ends[once].tolist())]
+        more: dict[str, int] = {}
+        entry[long] = [more.setdefault(padded[a:b].tobytes().decode(), table.used + len(words) + len(more)) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
+        words += more
+        learned = self._learn(words) if words else {}
+        new = [learned[w] for w in words]
+        n = np.array([len(x) // self.wide.itemsize for x in new], np.int32)
+        own = np.frombuffer(b"".join(new), self.wide)
+        begin = np.concatenate([table.begin[: table.used], table.filled + np.cumsum(n, dtype=np.int64) - n])
+        count = np.concatenate([table.n[: table.used], n])
+        pool = np.concatenate([table.pool[: table.filled], own])
+        table.add(low[once], high[once], size[once].astype(np.uint8), own, n[: len(once)])
+        size, begin = count[entry].astype(np.int64), begin[entry]
+        stop = np.cumsum(size)
+        total = int(stop[-1]) if len(stop) else 0
+        out = pool[np.repeat(begin - stop + size, size) + np.arange(total)]
+        return out, np.bincount(text, size, len(at) - 1).astype(np.int64)
 
 
 @lru_cache(maxsize=2)
@@ -229,15 +307,15 @@ def _tokenized(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         words, pack = _words(path), zstandard.ZstdCompressor(level=1)
         counts = np.zeros(max(words.n, END + 1), np.int64)
-        end = np.array([END], words.wide).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                raw = [x + end for x in words.ids([t or "" for t in part.column(1).to_pylist()])]
-                counts += np.bincount(np.frombuffer(b"".join(raw), words.wide), minlength=len(counts))
-                n = pa.array([len(x) // words.wide.itemsize for x in raw], pa.int64())
+            for row, data, at in pieces(batch.column(1), _RUN):
+                ids, n = words.ids(data, at)
+                ids, n = np.insert(ids, np.cumsum(n), END), n + 1
+                counts += np.bincount(ids, minlength=len(counts))
+                whole, ends = memoryview(np.ascontiguousarray(ids)).cast("B"), (np.cumsum(n) * ids.itemsize).tolist()
+                raw = [whole[a:b] for a, b in zip([0, *ends], ends)]
                 tie = pa.array([zlib.crc32(x) for x in raw], pa.int64())
-                yield pa.record_batch([part.column(0), n, tie, pa.array([pack.compress(x) for x in raw], pa.binary()), pa.nulls(len(raw), pa.int32()), pa.array(["ids"] * len(raw))], names=["doc_id", "n", "tie", "ids", "id", "kind"])
+                yield pa.record_batch([batch.column(0).slice(row, len(raw)), pa.array(n), tie, pa.array([pack.compress(x) for x in raw], pa.binary()), pa.nulls(len(raw), pa.int32()), pa.array(["ids"] * len(raw))], names=["doc_id", "n", "tie", "ids", "id", "kind"])
         used = np.flatnonzero(counts)
         yield pa.record_batch([pa.nulls(len(used), pa.int64()), pa.array(counts[used]), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.binary()), pa.array(used.astype(np.int32)), pa.array(["count"] * len(used))], names=["doc_id", "n", "tie", "ids", "id", "kind"])
 

@@ -5,6 +5,7 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -93,6 +94,24 @@ def test_archive(docs, empty):
     assert idcodec.write(empty, path).read().count() == 0
 
 
+def test_chunk_table_is_bounded_and_exact(monkeypatch):
+    """Ids are the library's while the tables are empty, filling and full; chunks differ by NUL bytes or beyond 8 and 16 bytes."""
+    path = tokenizer_path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    draw = np.random.default_rng(5)
+    words = [*("".join(draw.choice(list("abcdeÄé.'1"), draw.integers(1, 24))) for _ in range(300)), "a", "a\0", "a\0\0", "abcdefgh", "abcdefgh\0", "abcdefghijklmnop", "abcdefghijklmnopq", "日本語日本語日本語"]
+    monkeypatch.setattr(idcodec, "_CHUNKS", 150)
+    monkeypatch.setattr(idcodec, "_CACHE", 40)
+    tok = idcodec.Words(path)
+    for _ in range(6):
+        texts = [" ".join(draw.choice(words, n)) for n in (0, 1, 90, 2, 60)] + ["", " \n ", None, "a\0 a"]
+        for _, raw, at in common.pieces(pa.array(texts)):
+            ids, n = tok.ids(raw, at)
+            assert np.split(ids, np.cumsum(n))[-1].size == 0
+            assert [x.tolist() for x in np.split(ids, np.cumsum(n))[:-1]] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert tok.chunks.used <= 150 and len(tok.cores) <= 400
+
+
 # -- 3 ------------------------------------------------------------------------
 
 

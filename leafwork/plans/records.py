@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leafwork.functions import geometry as G
 from leafwork.functions import text as T
 from leafwork.functions import validate as V
+from leafwork.operators import texture
 from leafwork.operators import zones as Z
 from leafwork.plans.joins import MATCHED
 from leafwork.plans.registry import query
@@ -213,11 +214,24 @@ def template_schema(spark, d):
     return best.select("doc_id", "zone", F.when(snapped, F.col("b.seq")).alias("seq"), F.when(snapped, "snapped").otherwise("made").alias("how"), F.when(snapped, F.lit(None)).otherwise(0.4).cast("double").alias("confidence"))
 
 
-@query("snap_lines", X.with_("SELECT doc_id, seq, CASE WHEN abs(x0 - round_even) < 15 THEN round_even ELSE x0 END AS sx0 FROM (SELECT doc_id, seq, x0, floor((x0 + 50) / 100) * 100 AS round_even FROM blocks)", X.BLOCKS))
+_LINES = "lines AS (SELECT doc_id, x0, y0 FROM blocks WHERE type IN ('table', 'title'))"
+
+
+def _snap_sql(edge: str, line: str) -> str:
+    return f"coalesce((SELECT l.{line} FROM lines l WHERE l.doc_id = b.doc_id AND abs(l.{line} - b.{edge}) < 15 ORDER BY abs(l.{line} - b.{edge}), l.{line} LIMIT 1), b.{edge}) AS s{edge}"
+
+
+@query("snap_lines", X.with_("SELECT doc_id, seq, " + ", ".join(_snap_sql(e, e[0] + "0") for e in ("x0", "y0", "x1", "y1")) + " FROM blocks b", X.BLOCKS, _LINES))
 def snap_lines(spark, d):
-    """Left edges to the nearest grid line closer than 15 pixels; here the lines stand every 100 pixels."""
-    line = F.floor((F.col("x0") + 50) / 100).cast("double") * 100
-    return X.blocks(spark, d).select("doc_id", "seq", F.when(F.abs(F.col("x0") - line) < 15, line).otherwise(F.col("x0")).alias("sx0"))
+    """Each edge to the page's nearest line closer than 15 pixels, the first one on ties. The lines of a page, which a plug-in finds, are here the left and upper edges of its tables and titles."""
+    b = X.blocks(spark, d)
+    lines = b.where("type IN ('table', 'title')").groupBy("doc_id").agg(F.array_sort(F.collect_set("x0")).alias("lx"), F.array_sort(F.collect_set("y0")).alias("ly"))
+
+    def snapped(edge: str, lines: str):
+        near = F.filter(F.transform(lines, lambda v: F.struct(F.abs(v - F.col(edge)).alias("far"), v.alias("v"))), lambda x: x["far"] < 15)
+        return F.coalesce(F.array_min(near)["v"], edge).alias(f"s{edge}")
+
+    return b.join(lines, "doc_id", "left").select("doc_id", "seq", snapped("x0", "lx"), snapped("y0", "ly"), snapped("x1", "lx"), snapped("y1", "ly"))
 
 
 @query("split_by_lines", X.with_("SELECT doc_id, seq, nth, a AS y_top, b AS y_bottom FROM (SELECT doc_id, seq, unnest(range(0, 4)) AS nth, unnest([y0 + (y1 - y0) * k / 4 for k in range(0, 4)]) AS a, unnest([y0 + (y1 - y0) * k / 4 for k in range(1, 5)]) AS b FROM blocks WHERE type = 'table') WHERE b - a >= 20", X.BLOCKS))
@@ -228,12 +242,31 @@ def split_by_lines(spark, d):
     return X.blocks(spark, d).where("type = 'table'").select("doc_id", "seq", F.explode(rows).alias("r")).select("doc_id", "seq", "r.*").where("y_bottom - y_top >= 20")
 
 
-@query("texture_reclass", X.with_("SELECT doc_id, seq, CASE WHEN type = 'figure' AND d > 0.6 THEN 'table' WHEN type = 'table' AND d < 0.1 THEN 'text' WHEN type = 'unknown' THEN CASE WHEN d > 0.5 THEN 'table' ELSE 'text' END ELSE type END AS type FROM (SELECT *, ((seq * 13 + doc_id) % 100) / 100.0::DOUBLE AS d FROM blocks)", X.BLOCKS))
+_DENSE = {"d_text": "(seq * 13 + doc_id) % 50 / 100", "d_line": "(seq * 7 + doc_id) % 40 / 1000", "d_horizontal": "(seq + doc_id) % 3 / 100", "d_vertical": "(seq * 5 + doc_id) % 4 / 100", "d_stroke": "(seq * 11 + doc_id) % 13 / 100"}
+_TEXTURE = (
+    "t AS (SELECT *, " + ", ".join(f"{v.rsplit(' / ')[0]} / {v.rsplit(' / ')[1]}.0::DOUBLE AS {k}" for k, v in _DENSE.items()) + ", (seq + doc_id) % 4 = 0 AS ok, greatest((x1 - x0) * (y1 - y0), 1) / 400000.0::DOUBLE AS share FROM blocks)",
+    "u AS (SELECT *, CASE WHEN type = 'table' AND (share > 0.10::DOUBLE AND (d_text > 0.02::DOUBLE OR d_line > 0.015::DOUBLE) OR share < 0.05::DOUBLE AND d_line < 0.01::DOUBLE) THEN 'form' END AS fst FROM t)",
+    """v AS (SELECT *, CASE
+        WHEN fst IS NULL AND type = 'table' AND share > 0.35::DOUBLE THEN 'form'
+        WHEN fst IS NULL AND type = 'table' AND share > 0.10::DOUBLE THEN CASE WHEN NOT ok THEN CASE WHEN d_text < 0.02::DOUBLE AND d_line < 0.01::DOUBLE THEN 'figure' ELSE 'form' END END
+        WHEN type IN ('figure', 'unknown') OR type = 'table' AND share <= 0.18::DOUBLE THEN CASE
+            WHEN d_stroke > 0.088::DOUBLE AND d_text < 0.059::DOUBLE AND share < 0.15::DOUBLE THEN NULL
+            WHEN d_line > 0.015::DOUBLE AND d_horizontal > 0.01::DOUBLE AND d_vertical > 0.01::DOUBLE THEN CASE WHEN share > 0.35::DOUBLE OR d_text >= 0.45::DOUBLE THEN 'form' ELSE 'table' END
+            WHEN d_text > 0.08::DOUBLE AND d_line < 0.02::DOUBLE THEN CASE WHEN y1 - y0 < 48 THEN 'title' ELSE 'text' END
+            WHEN d_stroke > 0.088::DOUBLE AND share > 0.088::DOUBLE AND d_text < 0.036::DOUBLE THEN 'form' ELSE fst END
+        ELSE fst END AS new0 FROM u)""",
+    "w AS (SELECT *, CASE WHEN new0 = 'table' AND share > 0.45::DOUBLE THEN 'form' ELSE new0 END AS new1 FROM v)",
+    "k AS (SELECT doc_id, seq, x0, y0, x1, y1 FROM blocks WHERE type = 'table')",
+)
+_COMMON = "greatest(least(w.x1, k.x1) - greatest(w.x0, k.x0), 0) * greatest(least(w.y1, k.y1) - greatest(w.y0, k.y0), 0)"
+
+
+@query("texture_reclass", X.with_(f"SELECT doc_id, seq, type, CASE WHEN new1 = 'table' AND type <> 'table' AND EXISTS (SELECT 1 FROM k WHERE k.doc_id = w.doc_id AND k.seq <> w.seq AND {_COMMON} > 0.65::DOUBLE * ((w.x1 - w.x0) * (w.y1 - w.y0) + (k.x1 - k.x0) * (k.y1 - k.y0) - {_COMMON})) THEN type ELSE coalesce(new1, type) END AS new_type FROM w", X.BLOCKS, *_TEXTURE))
 def texture_reclass(spark, d):
-    """Types changed by the line density that a pixel plug-in reports."""
-    density, t = ((F.col("seq") * 13 + F.col("doc_id")) % 100) / F.lit(100.0), F.col("type")
-    new = F.when((t == "figure") & (density > 0.6), "table").when((t == "table") & (density < 0.1), "text").when(t == "unknown", F.when(density > 0.5, "table").otherwise("text")).otherwise(t)
-    return X.blocks(spark, d).select("doc_id", "seq", new.alias("type"))
+    """Types changed by the densities that a pixel plug-in reports, here made from seq and doc_id, on pages of 1000 by 400 pixels."""
+    dense = {k: F.expr(v.rsplit(" / ")[0]) / F.lit(float(v.rsplit(" / ")[1])) for k, v in _DENSE.items()}
+    b = X.blocks(spark, d).withColumns(dense | {"well_formed": F.expr("(seq + doc_id) % 4 = 0")})
+    return texture.reclassified(b, 1000, 400).select("doc_id", "seq", "type", "new_type")
 
 
 # -- tables, values and records ---------------------------------------------------------

@@ -272,12 +272,56 @@ def texture_reclass(spark, d):
 # -- tables, values and records ---------------------------------------------------------
 
 
-@query("table_cells", X.with_("SELECT doc_id, page_id, (pos // 10) % 50 AS row_, pos % 10 AS col_, string_agg(token, ' ' ORDER BY pos) AS text FROM words WHERE page_id = 0 GROUP BY ALL", X.WORDS))
+#: Pixels within which middles of cells are of one column or row: 1.5 % of the page's width and height.
+_APART = {"x": 0.015 * 2550, "y": 0.015 * 3300}
+
+
+def _centre_sql(z: str) -> str:
+    gap = f"m - lag(m) OVER (PARTITION BY doc_id ORDER BY m) > {_APART[z]}::DOUBLE"
+    return f"""c{z} AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY c) - 1 AS i, c, (c + lead(c) OVER (PARTITION BY doc_id ORDER BY c)) / 2 AS e
+        FROM (SELECT doc_id, avg(m) AS c FROM (SELECT doc_id, m, sum(g) OVER (PARTITION BY doc_id ORDER BY m) AS k FROM (SELECT doc_id, m, CASE WHEN {gap} THEN 1 ELSE 0 END AS g FROM (SELECT doc_id, ({z}0 + {z}1) / 2 AS m FROM blocks))) GROUP BY doc_id, k))"""
+
+
+def _cell_sql(z: str, name: str) -> str:
+    of = f"FROM c{z} c WHERE c.doc_id = b.doc_id"
+    return f"(SELECT i {of} ORDER BY abs(c - (b.{z}0 + b.{z}1) / 2), i LIMIT 1) AS {name}_, (SELECT count(*) {of} AND e <= b.{z}0) AS {name}_start, (SELECT count(*) {of} AND e < b.{z}1) AS {name}_end"
+
+
+_CELLS = f"cells AS (SELECT doc_id, seq, text, {_cell_sql('y', 'row')}, {_cell_sql('x', 'col')} FROM blocks b)"
+
+
+def cells(spark, d):
+    """Boxes as cells of their page's table: nearest column and row, and the bands between neighbouring centres that they reach into."""
+    b = X.blocks(spark, d)
+
+    def centres(z: str):
+        middle = b.select("doc_id", ((F.col(f"{z}0") + F.col(f"{z}1")) / 2).alias("m"))
+        w = Window.partitionBy("doc_id").orderBy("m")
+        k = F.sum("g").over(w)
+        groups = middle.withColumn("g", F.when(F.col("m") - F.lag("m").over(w) > _APART[z], 1).otherwise(0)).withColumn("k", k).groupBy("doc_id", "k").agg(F.avg("m").alias("c"))
+        return groups.groupBy("doc_id").agg(F.array_sort(F.collect_list("c")).alias(f"c{z}"))
+
+    def placed(z: str, name: str):
+        c, low, high = F.col(f"c{z}"), F.col(f"{z}0"), F.col(f"{z}1")
+        near = F.array_min(F.transform(c, lambda v, i: F.struct(F.abs(v - (low + high) / 2).alias("far"), i.alias("i"))))["i"]
+        # the edge above a centre is halfway to the next one; the last one has none
+        edges = F.transform(F.slice(c, 1, F.size(c) - 1), lambda v, i: (v + F.get(c, i + 1)) / 2)
+        upto = lambda test: F.size(F.filter(edges, test)).cast("long")
+        return near.cast("long").alias(f"{name}_"), upto(lambda e: e <= low).alias(f"{name}_start"), upto(lambda e: e < high).alias(f"{name}_end")
+
+    both = b.join(centres("x"), "doc_id").join(centres("y"), "doc_id")
+    return both.select("doc_id", "seq", "text", *placed("y", "row"), *placed("x", "col"))
+
+
+@query("table_cells", X.with_("SELECT * FROM cells", X.BLOCKS, _centre_sql("x"), _centre_sql("y"), _CELLS))
 def table_cells(spark, d):
-    """Words in the cell of the nearest row and column centre; centres are regular here, so the nearest is found by arithmetic."""
-    row, column = F.floor((F.col("y0") + 6) / 60).cast("long"), F.floor((F.col("x0") + 10) / 250).cast("long")
-    g = X.words(spark, d, True).groupBy("doc_id", "page_id", row.alias("row_"), column.alias("col_")).agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("w"))
-    return g.select("doc_id", "page_id", "row_", "col_", F.array_join("w.token", " ").alias("text"))
+    return cells(spark, d)
+
+
+@query("table_body", X.with_("SELECT doc_id, row_, col_, arg_max(text, seq) AS text FROM cells GROUP BY ALL", X.BLOCKS, _centre_sql("x"), _centre_sql("y"), _CELLS))
+def table_body(spark, d):
+    """The grid of a page: of boxes in one cell the last one's text."""
+    return cells(spark, d).groupBy("doc_id", "row_", "col_").agg(F.max_by("text", "seq").alias("text"))
 
 
 @query("table_header_rows", X.with_("SELECT doc_id, count(*) FILTER (lead_ok) AS n FROM (SELECT doc_id, bool_and(filled >= greatest(1, floor(0.6 * most))) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS lead_ok FROM (SELECT *, max(filled) OVER (PARTITION BY doc_id) AS most FROM (SELECT doc_id, (pos // 10) % 50 AS line, count(*) FILTER (length(token) > 3) AS filled FROM words WHERE page_id = 0 GROUP BY ALL))) GROUP BY doc_id", X.WORDS))

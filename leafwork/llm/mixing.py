@@ -98,7 +98,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, most: in
     sums = {r["source"]: int(r["s"]) for r in per_length.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s")).collect()}
     want = targets(sums, weights, share, most)
     plan = [(s, sums[s], float(t), min(most, int(t // sums[s])) if sums[s] else 1, int(t)) for s, t in want.items()]
-    facts = spark.createDataFrame(plan, "source string, source_size long, target double, rounds int, whole long")
+    facts = spark.createDataFrame(plan, "source string, source_size long, target double, rounds int, whole long")  # one row a source, made on the driver: the side to broadcast
 
     def fitted(part: pd.DataFrame) -> pd.DataFrame:
         head = part.iloc[0]
@@ -107,7 +107,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, most: in
         more = fit(lengths, counts, budget) if head["rounds"] < most and budget > 0 else np.zeros(len(part), np.int64)
         return part[["source", "size", "n", "source_size", "target", "rounds"]].assign(more=more)
 
-    joined = per_length.join(facts, per_length["source"].eqNullSafe(facts["source"])).select(per_length["source"], "size", "n", "source_size", "target", "rounds", "whole")
+    joined = per_length.join(F.broadcast(facts), per_length["source"].eqNullSafe(facts["source"])).select(per_length["source"], "size", "n", "source_size", "target", "rounds", "whole")
     wanted = written(joined.groupBy("source").applyInPandas(fitted, "source string, size long, n long, source_size long, target double, rounds int, more long"))
 
     # the first `more` of a length in the order of the draw: by parts of the draw's range, so that a large group of one length is split

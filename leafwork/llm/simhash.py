@@ -8,7 +8,8 @@ direction, the plain index of one among the indices of the other. With 3 errors
 in 3 segments at least two segments hold at most one error each, so for each
 pair of segments a fingerprint has the keys (near index, plain index) and
 (plain index, near index), and two linked fingerprints share a key of some pair.
-Fingerprints that share a key are verified bit by bit.
+Fingerprints that share a key are verified bit by bit. The pipeline's stage takes
+the pairs that share a key as candidates only, and compares their five-word shingles.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any
 other; equal fingerprints are one node, so copies are never expanded into pairs;
@@ -33,6 +34,11 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _CHUNK = 1 << 16
 #: Fingerprints a document when copies are removed.
 FINGERPRINTS = 4
+#: Bits in which a candidate's fingerprints that share a key may differ, when shingle sets are compared afterwards.
+CANDIDATE_BITS = 14
+#: Near copies of the stage: Jaccard similarity over shingles of so many words.
+LEAST_SIMILARITY = 0.8
+SHINGLE = 5
 
 
 def fingerprints_of(text: str | None, n: int = 1, width: int = 3) -> bytes:
@@ -269,8 +275,159 @@ def near_duplicates(docs: DataFrame, most: int = 3, n: int = 1) -> DataFrame:
     return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, most: int = 3, n: int = FINGERPRINTS) -> DataFrame:
+# -- the stage: similarity of five-word shingles -----------------------------
+
+
+def shingle_set(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """Sorted 32-bit hashes of the distinct shingles; a text of fewer words has one shingle, a text without words none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint32)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)))) if len(words) > width else [b" ".join(words)]
+    return np.unique(np.fromiter((xxhash.xxh32_intdigest(x, 42) for x in shingles), np.uint32))
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
+
+
+def _node(text: str | None) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())) - (1 << 63)
+
+
+def _noded(n: int):
+    names = ["doc_id", "node", *(f"fp{k}" for k in range(n))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            fps = np.frombuffer(b"".join([fingerprints_of(t, n) for t in texts]), ">i8").astype(np.int64).reshape(-1, n)
+            yield pa.record_batch([batch.column(0), pa.array([_node(t) for t in texts], pa.int64()), *(pa.array(fps[:, k].copy()) for k in range(n))], names=names)
+
+    return run
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(0).to_pylist()
+        yield pa.record_batch([pa.array([_node(t) for t in texts], pa.int64()), pa.array([shingle_set(t).tobytes() for t in texts], pa.binary())], names=["node", "shingles"])
+
+
+def _keyed_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of each (k, fp), with k above the 26 bits of a key."""
+    for batch in batches:
+        k, fps = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        for at in range(0, len(fps), 4096):
+            rows, keys = keys_of(fps[at : at + 4096].view(np.uint64))
+            yield pa.record_batch([pa.array((keys | k[at : at + 4096][rows].astype(np.int64) << 26).astype(np.int32)), pa.array(fps[at : at + 4096][rows])], names=["key", "fp"])
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def run_pairs(f: np.ndarray, most: int, small: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a run's fingerprints within `most` bits: all of a short run; of a long one those with a root each, so that a large group gives no square of pairs."""
+    left, right = [], []
+    f = f[np.argsort(_mixed(f), kind="stable")]  # the same order in all runs, so that large groups meet the same few roots
+    while len(f) > 1:
+        near = np.bitwise_count(f[1:] ^ f[0]) <= most
+        left.append(np.full(int(near.sum()), f[0]))
+        right.append(f[1:][near])
+        f = f[1:] if len(f) <= small else f[1:][~near]
+    return np.concatenate(left or [f[:0]]), np.concatenate(right or [f[:0]])
+
+
+def _pairs(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail_k, tail_f = np.zeros(0, np.int32), np.zeros(0, np.uint64)
+
+        def pairs(k, f):
+            edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            size = np.diff(np.concatenate([edge, [len(k)]]))
+            a, b, which = [], [], []
+            two = edge[size == 2]
+            two = two[np.bitwise_count(f[two] ^ f[two + 1]) <= most]
+            a.append(f[two]), b.append(f[two + 1]), which.append(k[two] >> 26)
+            for lo, n in zip(edge[size > 2].tolist(), size[size > 2].tolist()):
+                x, y = run_pairs(f[lo : lo + n], most)
+                a.append(x), b.append(y), which.append(np.full(len(x), k[lo] >> 26, np.int32))
+            a, b, which = np.concatenate(a), np.concatenate(b), np.concatenate(which).astype(np.int32)
+            seen = np.unique(np.stack([which.astype(np.uint64), np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+            return pa.record_batch([pa.array(seen[:, 0].astype(np.int32)), pa.array(seen[:, 1].copy().view(np.int64)), pa.array(seen[:, 2].copy().view(np.int64))], names=["k", "a", "b"])
+
+        for batch in batches:
+            k = np.concatenate([tail_k, batch.column(0).to_numpy(zero_copy_only=False)])
+            f = np.concatenate([tail_f, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
+            if not len(k):
+                continue
+            cut = int(np.searchsorted(k, k[-1], "left"))
+            tail_k, tail_f = k[cut:], f[cut:]
+            if cut:
+                yield pairs(k[:cut], f[:cut])
+        if len(tail_k):
+            yield pairs(tail_k, tail_f)
+
+    return run
+
+
+def _similar(least: float):
+    """Of pairs with their sets, those at least that similar, less those that close a circle within the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def find(x):
+            while (p := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[p]
+            return x
+
+        for batch in batches:
+            keep = []
+            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                ra, rb = find(a), find(b)
+                if ra != rb and similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= least:
+                    parent[ra] = rb
+                    keep.append((a, b))
+            yield pa.record_batch([pa.array([a for a, _ in keep], pa.int64()), pa.array([b for _, b in keep], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def similar_components(docs: DataFrame, least: float = LEAST_SIMILARITY, n: int = FINGERPRINTS, most: int = CANDIDATE_BITS) -> DataFrame:
+    """(doc_id, component_id: smallest doc_id reachable) by links of Jaccard similarity `least` or more over five-word shingles.
+
+    Candidates share a Golay key of one of n fingerprints and differ there in at most `most` bits; each is then
+    verified on its whole shingle sets. Texts of the same words are one node.
+    """
+    long_rows(docs.sparkSession)
+    rows = written(docs.select("doc_id", "text").mapInArrow(_noded(n), "doc_id long, node long" + "".join(f", fp{k} long" for k in range(n))))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"fp{k}").alias("fp")) for k in range(n))))
+    of_node = rows.select("node", each.alias("x")).select("x.k", "x.fp", "node").distinct()
+    of_node = written(of_node)
+    heads = written(of_node.groupBy("k", "fp").agg(F.min("node").alias("head")))
+    same = of_node.join(heads, ["k", "fp"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    keyed = heads.select("k", "fp").mapInArrow(_keyed_all, "key int, fp long")
+    found = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_pairs(most), "k int, a long, b long").distinct()
+    left, right = heads.select("k", F.col("fp").alias("a"), F.col("head").alias("na")), heads.select("k", F.col("fp").alias("b"), F.col("head").alias("nb"))
+    crossed = found.join(left, ["k", "a"]).join(right, ["k", "b"]).where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
+    candidates = written(same.unionByName(crossed).distinct())
+    touched = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = written(docs.select("text").mapInArrow(_sets, "node long, shingles binary").join(touched, "node", "left_semi").dropDuplicates(["node"]))
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    edges = candidates.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(least), "a long, b long")
+    nodes = components(edges)
+    first = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
+    rooted = first.join(nodes, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    id_of = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.select("doc_id", "node").join(rooted.join(id_of, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, least: float = LEAST_SIMILARITY, n: int = FINGERPRINTS) -> DataFrame:
     """The documents with one of each near-duplicate group: the smallest doc_id; of repeated rows of that doc_id the first by text."""
-    keep = near_duplicates(docs, most, n).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep")).distinct()
+    keep = similar_components(docs, least, n).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep")).distinct()
     kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["keep"]), "left_semi")
     return kept.withColumn("__leafwork_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__leafwork_nth = 1").drop("__leafwork_nth")

@@ -448,3 +448,31 @@ def test_further_fingerprints(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(d, n=4).collect()} == {i: find(i) for i in range(len(texts))}
     assert simhash.fingerprints_of(texts[0], 4)[:8] == simhash.fingerprint(texts[0])
+
+
+def test_near_duplicate_stage_similarity(spark):
+    """The stage takes near copies of five-word similarity 0.8 and more, leaves those below, and links by similarity alone."""
+    draw = np.random.default_rng(4)
+    rows, wanted, below = [], 0, 0
+    while wanted < 120:
+        words = [f"w{x}" for x in draw.integers(0, 5000, int(draw.integers(100, 600)))]
+        other = [f"n{draw.integers(1 << 40)}" if draw.random() < 0.026 else w for w in words]
+        sets = [set(zip(*(w[i:] for i in range(5)))) for w in (words, other)]
+        s = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        if 0.8 <= s < 0.9 and wanted < 120 or 0.6 < s < 0.79 and below < 40:
+            wanted, below = wanted + (s >= 0.8), below + (s < 0.8)
+            rows += [(2 * len(rows), " ".join(words), s >= 0.8), (2 * len(rows) + 1, " ".join(other), s >= 0.8)]
+    d = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one(d).select("doc_id").collect()}
+    assert kept >= {i for i, _, _ in rows[::2]} | {i for i, _, near in rows[1::2] if not near}
+    assert sum(i not in kept for i, _, near in rows[1::2] if near) >= 0.95 * wanted
+
+
+def test_near_duplicate_stage_large_group(spark):
+    """A large group of near copies, copies in other case and space, empty and null texts: one of each stays."""
+    draw = np.random.default_rng(5)
+    base = [f"w{x}" for x in draw.integers(0, 5000, 300)]
+    texts = [" ".join(f"n{i}" if j == i else w for j, w in enumerate(base)) for i in range(300)]
+    texts += ["one Two", " ONE  two", "", None, "three"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(d).collect()) == [0, 300, 302, 304]

@@ -3,6 +3,13 @@
 A unit is a line of at least six words, or a sentence of at least six words in
 a line of several sentences (a sentence ends with . ! or ? before white space),
 so that a passage that was pasted into the middle of a line is found as well.
+Shorter lines and sentences are units together with their neighbours: from each
+one the shortest run onward and the shortest run back that have six words, over
+line ends, so that a repeated list, verse, form or short sentence is found too.
+So that a passage of over 50 words is found wherever its sentences are cut, runs
+of 12 to 24 words between boundaries set by the words alone are units as well;
+up to 13 words stay at its start and 26 at its end where its sentences are cut.
+Runs overlap, and each removed one has its row.
 Units are normalised (lower case, white space as single spaces), their 128-bit
 digests are grouped over all documents, the occurrence of lowest rank (doc_id,
 then text hash, then offset) is kept and every other one is removed. Offsets are
@@ -23,31 +30,84 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.llm.common import long_rows, written
 
 LEAST_WORDS = 6
+#: A repeated passage of so many words is found wherever it stands: REACH + WINDOW - 1 + REACH + REACH + 1 <= PASSAGE.
+PASSAGE, WINDOW, REACH = 51, 12, 13
 _SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?![ \t\r\f\v\n.!?]|\Z)[^.!?\n]*)*[.!?]*[ \t\r\f\v]*")
 _UNITS = "doc_id long, th long, line int, start int, stop int, words int, d1 long, d2 long"
 
 
 def units(text: str, least: int = LEAST_WORDS) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(start of the line, start, stop, words, digest) of each unit; lines come with start equal to the line's start and before their sentences."""
-    at = 0
+    """(start of the line, start, stop, words, digest) of each unit; lines come with start equal to the line's start and before their sentences.
+
+    Runs around short units come last, with -1 minus their start in place of the line's start.
+    """
+    at, atoms, every = 0, [], []
     for line in text.split("\n"):
-        words = line.encode("utf-8", "surrogatepass").split()
+        words = line.lower().encode("utf-8", "surrogatepass").split()
+        every += words
         if len(words) >= least:
-            low = line.lower()
-            yield at, at, at + len(line), len(words), xxhash.xxh3_128_digest(b" ".join(low.encode("utf-8", "surrogatepass").split()))
-            spans = [m.span() for m in _SENTENCE.finditer(line) if m.end() > m.start()]
-            if len(spans) > 1:
-                for a, b in spans:
-                    part = line[a:b].lower().encode("utf-8", "surrogatepass").split()
-                    if len(part) >= least:
-                        yield at, at + a, at + b, len(part), xxhash.xxh3_128_digest(b" ".join(part))
+            yield at, at, at + len(line), len(words), xxhash.xxh3_128_digest(b" ".join(words))
+        spans = [m.span() for m in _SENTENCE.finditer(line) if m.end() > m.start()] if words else []
+        if len(spans) > 1:
+            for a, b in spans:
+                part = line[a:b].lower().encode("utf-8", "surrogatepass").split()
+                if len(part) >= least:
+                    yield at, at + a, at + b, len(part), xxhash.xxh3_128_digest(b" ".join(part))
+                if part:
+                    atoms.append((at + a, at + b, part))
+        elif words:
+            atoms.append((at, at + len(line), words))
         at += len(line) + 1
+    for i, j in runs([len(part) for _, _, part in atoms], least):
+        words = [w for _, _, part in atoms[i:j] for w in part]
+        yield -1 - atoms[i][0], atoms[i][0], atoms[j - 1][1], len(words), xxhash.xxh3_128_digest(b" ".join(words))
+    if len(every) >= PASSAGE:
+        starts, stops = _word_spans(text)
+        for a, b in windows(every):
+            yield -1 - int(starts[a]), int(starts[a]), int(stops[b - 1]), b - a, xxhash.xxh3_128_digest(b" ".join(every[a:b]))
+
+
+def _word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops, in code points, of the words of text as bytes.split() cuts them."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    edge = np.diff(np.concatenate([[True], (chars == 32) | ((chars >= 9) & (chars <= 13)), [True]]).astype(np.int8))
+    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+
+
+def windows(words: list[bytes]) -> list[tuple[int, int]]:
+    """Runs of words between boundaries that the words alone decide, from each boundary the shortest onward of WINDOW words.
+
+    A boundary is the least hash of two words in some stretch of REACH. In a passage of PASSAGE words the first one
+    comes within REACH words, the last one at most REACH + 1 before the end, and a run is at most WINDOW - 1 + REACH
+    words long, so one lies within the passage wherever it stands.
+    """
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    h = (h[:-1] ^ (h[1:] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    bounds = np.unique(np.lib.stride_tricks.sliding_window_view(h, REACH).argmin(axis=1) + np.arange(len(h) - REACH + 1))
+    on = np.searchsorted(bounds, bounds + WINDOW)
+    return list(zip(bounds[on < len(bounds)].tolist(), bounds[on[on < len(bounds)]].tolist()))
+
+
+def runs(sizes: list[int], least: int) -> list[tuple[int, int]]:
+    """From each short unit the shortest run of units onward, and back, that has `least` words: every short unit of a repeated passage of whole units lies in one within the passage."""
+    out = set()
+    for i, n in enumerate(sizes):
+        if n < least:
+            for step in (1, -1):
+                j, total = i, n
+                while total < least and 0 <= j + step < len(sizes):
+                    j += step
+                    total += sizes[j]
+                if total >= least:
+                    out.add((min(i, j), max(i, j) + 1))
+    return sorted(out)
 
 
 def _units(least: int):
@@ -78,14 +138,18 @@ def _units(least: int):
     return run
 
 
-def repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """One row for each removed unit: doc_id, th (text hash), start_char, end_char, n_words, digest, first_doc_id, first_start of the kept occurrence."""
+def _again(docs: DataFrame, least: int) -> DataFrame:
+    """Every unit that has an occurrence of lower rank, with that of the lowest; sentences of removed lines among them."""
     long_rows(docs.sparkSession)
-    found = written(docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_units(least), _UNITS))
+    found = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_units(least), _UNITS)
     rank = F.struct("doc_id", "th", "start")
-    first = found.groupBy("d1", "d2").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where("first <> last")
-    again = found.join(first.select("d1", "d2", "first"), ["d1", "d2"]).where(rank > F.col("first"))
-    gone = written(again.select("doc_id", "th", "line", "start", "stop", "words", F.concat(F.lower(F.lpad(F.hex("d1"), 16, "0")), F.lower(F.lpad(F.hex("d2"), 16, "0"))).alias("digest"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")))
+    ranked = Window.partitionBy("d1", "d2").orderBy("doc_id", "th", "start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return found.withColumn("first", F.first(rank).over(ranked)).where(rank > F.col("first"))
+
+
+def repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """One row for each removed unit: doc_id, th (text hash), start_char, end_char, n_words, digest, first_doc_id, first_start of the kept occurrence."""
+    gone = written(_again(docs, least).select("doc_id", "th", "line", "start", "stop", "words", F.concat(F.lower(F.lpad(F.hex("d1"), 16, "0")), F.lower(F.lpad(F.hex("d2"), 16, "0"))).alias("digest"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")))
     whole = gone.where("start = line").groupBy("doc_id", "th", "line").agg(F.max("stop").alias("until"))
     g, w = gone.alias("g"), whole.alias("w")
     on = F.col("g.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("g.th") == F.col("w.th")) & (F.col("g.line") == F.col("w.line"))
@@ -105,7 +169,7 @@ def _cut(text: str, spans) -> str:
 
 def without_repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """All rows and columns of docs, with the repeated units cut out of text."""
-    spans = repeats(docs, least).groupBy("doc_id", "th").agg(F.collect_list(F.struct("start_char", "end_char")).alias("__l_spans"))
+    spans = _again(docs, least).groupBy("doc_id", "th").agg(F.collect_list(F.struct(F.col("start").alias("start_char"), F.col("stop").alias("end_char"))).alias("__l_spans"))
     spans = spans.select(F.col("doc_id").alias("__l_id"), F.col("th").alias("__l_th"), "__l_spans")
     joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["__l_id"]) & (F.xxhash64(docs["text"]) == spans["__l_th"]), "left").select(docs["*"], "__l_spans")
     names, schema = docs.columns, docs.schema

@@ -389,6 +389,46 @@ def test_repeats_brute_force(small):
     assert got == want
 
 
+def test_repeats_of_short_units(spark):
+    """Passages of over 50 words in lines or sentences of up to five words are removed whole, whatever stands around them."""
+    draw = np.random.default_rng(6)
+    part = lambda tag: [" ".join(f"{tag}{i}{j}" for j in range(draw.integers(1, 6))) for i in range(25)]
+    verse, talk = part("v"), [x + "." for x in part("t")]
+    assert all(sum(len(x.split()) for x in p) > 50 for p in (verse, talk))
+    mixed = ["Yes.", "This sentence has more than six words.", "No.", "Why not."]
+    rows = [
+        (1, "\n".join(["p q", *verse, "r"])),
+        (2, "\n".join(["other", "s t u", *verse, "last one here"])),
+        (3, "Before it a. " + " ".join(talk) + " After it b."),
+        (4, "Begin c. " + " ".join(talk) + " End d."),
+        (5, "Before. " + " ".join(mixed) + " After."),
+        (6, "Here. " + " ".join(mixed) + " There."),
+        (7, "p q\nzz\nr"),
+    ]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    new = {r["doc_id"]: r["text"] for r in linededup.without_repeats(d).collect()}
+    assert [new[i] for i in (1, 3, 5, 7)] == [rows[i - 1][1] for i in (1, 3, 5, 7)]
+    assert new[2].split() == "other s t u last one here".split()
+    assert new[4].split() == "Begin c. End d.".split() and new[6].split() == "Here. There.".split()
+
+
+def test_repeats_of_passages_without_sentences(spark):
+    """A passage of 51 words inside one sentence is found wherever it stands; at most 13 words stay at its start and 26 at its end."""
+    draw = np.random.default_rng(7)
+    rows, passages = [], []
+    for i in range(60):
+        passage = [f"p{i}x{x}" for x in draw.integers(0, 40, 51)]
+        for side in (0, 1):
+            head, tail = ([f"{tag}{i}{side}{x}" for x in range(draw.integers(0, 40))] for tag in "ht")
+            rows.append((2 * i + side, " ".join(head + passage + tail)))
+        passages.append(passage)
+    new = {r["doc_id"]: r["text"].split() for r in linededup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, passage in enumerate(passages):
+        assert new[2 * i] == rows[2 * i][1].split()
+        left = [w for w in new[2 * i + 1] if w.startswith("p")]
+        assert any(left == passage[:a] + passage[len(passage) - len(left) + a :] and a <= 13 and len(left) - a <= 26 for a in range(len(left) + 1))
+
+
 # -- 10 -----------------------------------------------------------------------
 
 

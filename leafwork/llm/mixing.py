@@ -53,7 +53,7 @@ def targets(sizes: dict, weights=WEIGHTS, share: float = TOTAL_SHARE, most: floa
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = 1 << 16) -> np.ndarray:
-    """How many documents of each length to take, at most counts, for a sum as near the budget as the window's knapsack finds."""
+    """How many documents of each length to take, at most counts, for a sum as near the budget as the window's knapsack finds, or one document longer than the window in place of others."""
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
@@ -83,6 +83,17 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, window: int = 1 <<
                 reach |= new
             n, step = n - k, 2 * step
     at = next(s for d in range(top + 1) for s in (left - d, left + d) if 0 <= s <= top and reach >> s & 1)
+    if left > window and spare:
+        # each spare document is longer than what is left: the shortest one, in place of taken ones as far as they fit into its excess
+        i = min(spare, key=lambda i: int(lengths[i]))
+        other, over = take.copy(), int(lengths[i]) - left
+        other[i] += 1
+        for j in order:
+            n = min(int(other[j]), over // int(lengths[j])) if over > 0 and lengths[j] else 0
+            other[j] -= n
+            over -= n * int(lengths[j])
+        if abs(over) < abs(at - left):
+            return other
     while at:
         i, k = items[by[at]]
         take[i] += k

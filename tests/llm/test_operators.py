@@ -462,6 +462,14 @@ def test_pipeline(spark, docs, tmp_path):
     assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and out.count() == at.count()
 
 
+def test_fit_takes_a_document_longer_than_the_window():
+    """A document more than a window beyond what is left is taken where that comes nearer to the budget, and only there."""
+    fit = lambda lengths, counts, budget: mixing.fit(np.array(lengths), np.array(counts), budget).tolist()
+    assert fit([300_000], [1], 200_000) == [1] and fit([300_000], [1], 140_000) == [0]
+    assert fit([10, 300_000], [1000, 1], 250_000) == [0, 1] and fit([10, 300_000], [1000, 1], 100_000) == [1000, 0]
+    assert fit([10, 200_000, 300_000], [1000, 1, 1], 305_000) == [500, 0, 1]
+
+
 def test_further_fingerprints(spark):
     """Near copies beyond three bits of the first fingerprint are found by a further one, and nothing else is."""
     draw = np.random.default_rng(9)

@@ -24,9 +24,11 @@ def long_rows(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir; only where that is unset (tests) a local one is set."""
+    """A new folder below spark.checkpoint.dir; where that is unset, a local one on a local master (tests), and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context = spark.sparkContext._jsc.sc()
         if context.getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="leafwork-"))

@@ -28,11 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import long_rows, written
+from leafwork.llm.common import discard, long_rows, written
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _CHUNK = 1 << 16
-#: Fingerprints a document when copies are removed.
+#: Nodes a task remembers the trees of.
+_NODES = 1 << 20
+#: Fingerprints a document that the stage takes keys from.
 FINGERPRINTS = 4
 #: Bits in which a candidate's fingerprints that share a key may differ, when shingle sets are compared afterwards.
 CANDIDATE_BITS = 14
@@ -69,16 +71,10 @@ def fingerprint(text: str | None, width: int = 3) -> bytes:
     return fingerprints_of(text, 1, width)
 
 
-def _fingerprints(n: int):
-    names = ["doc_id", "fp", *(f"fp{k}" for k in range(1, n))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = b"".join([fingerprints_of(t.as_py(), n) for t in batch.column(1)])
-            fps = np.frombuffer(raw, ">i8").astype(np.int64).reshape(-1, n)
-            yield pa.record_batch([batch.column(0), *(pa.array(fps[:, k].copy()) for k in range(n))], names=names)
-
-    return run
+def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw = b"".join([fingerprint(t.as_py()) for t in batch.column(1)])
+        yield pa.record_batch([batch.column(0), pa.array(np.frombuffer(raw, ">i8").astype(np.int64))], names=["doc_id", "fp"])
 
 
 # -- the Golay code ---------------------------------------------------------
@@ -168,30 +164,82 @@ def link_run(fps: np.ndarray, most: int) -> list[tuple[np.uint64, np.uint64]]:
     return edges
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(root, node) for every node of the edges (a, b) but the roots; a root is the least node of its component."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], low)
+        np.minimum.at(label, label[b], low)
+        while (up := label[label]).tobytes() != label.tobytes():
+            label = up
+        open_ = label[a] != label[b]
+        a, b = a[open_], b[open_]
+    own = np.arange(len(nodes))
+    return nodes[label[label != own]], nodes[own[label != own]]
+
+
+class _Trees:
+    """Edges of one task, contracted whenever many have come together: what goes out are tree edges, one for each node but the roots."""
+
+    def __init__(self, most: int = 1 << 19):
+        self.parts, self.n, self.most = [], 0, most
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.parts.append((a, b))
+        self.n += len(a)
+        if self.n > self.most:
+            a, b = self._contracted()
+            if len(a) > self.most // 2:  # bounded memory: these go out, later ones start anew
+                yield self._batch(a, b)
+            else:
+                self.parts, self.n = [(a, b)], len(a)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.n:
+            yield self._batch(*self._contracted())
+
+    def _contracted(self):
+        out = forest(np.concatenate([a for a, _ in self.parts]), np.concatenate([b for _, b in self.parts]))
+        self.parts, self.n = [], 0
+        return out
+
+    @staticmethod
+    def _batch(a, b):
+        return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tree edges of a task's edges."""
+    trees = _Trees()
+    for batch in batches:
+        yield from trees.add(*(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+    yield from trees.rest()
+
+
 def _linker(most: int, small: int = 24):
+    """Of the keyed fingerprints of a task, in order of their key, the tree edges of what is verified within a key."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail_k, tail_f = np.zeros(0, np.int32), np.zeros(0, np.uint64)
+        tail_k, tail_f, trees = np.zeros(0, np.int32), np.zeros(0, np.uint64), _Trees()
 
         def links(k, f):
-            """Short runs by comparing at each lag, long runs by growing from a root."""
+            """Verified pairs: of short runs at each lag, of long ones by growing from a root. They stay in the task."""
             edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             size = np.diff(np.concatenate([edge, [len(k)]]))
-            left, right = [], []
+            left, right = [f[:0]], [f[:0]]
             for lo, n in zip(edge[size > small], size[size > small]):
                 pairs = link_run(f[lo : lo + n], most)
-                left += [np.array([a for a, _ in pairs], np.uint64)]
-                right += [np.array([b for _, b in pairs], np.uint64)]
+                left.append(np.array([a for a, _ in pairs], np.uint64))
+                right.append(np.array([b for _, b in pairs], np.uint64))
             short = np.repeat(size <= small, size)
             for lag in range(1, min(small, int(size.max()))):
                 i = np.flatnonzero((k[lag:] == k[:-lag]) & short[lag:])
                 i = i[np.bitwise_count(f[i] ^ f[i + lag]) <= most]
                 left.append(f[i])
                 right.append(f[i + lag])
-            if not left:
-                return None
-            a, b = np.concatenate(left), np.concatenate(right)
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0).view(np.int64) if len(a) else np.zeros((0, 2), np.int64)
-            return pa.record_batch([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+            return trees.add(np.concatenate(left), np.concatenate(right))
 
         for batch in batches:
             k = np.concatenate([tail_k, batch.column(0).to_numpy(zero_copy_only=False)])
@@ -200,10 +248,11 @@ def _linker(most: int, small: int = 24):
                 continue
             cut = int(np.searchsorted(k, k[-1], "left"))
             tail_k, tail_f = k[cut:], f[cut:]
-            if cut and (out := links(k[:cut], f[:cut])):
-                yield out
-        if len(tail_k) and (out := links(tail_k, tail_f)):
-            yield out
+            if cut:
+                yield from links(k[:cut], f[:cut])
+        if len(tail_k):
+            yield from links(tail_k, tail_f)
+        yield from trees.rest()
 
     return run
 
@@ -211,7 +260,8 @@ def _linker(most: int, small: int = 24):
 def links(fps: DataFrame, most: int = 3) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) that connect everything connected within `most` bits.
 
-    The keys hold for at most 3 bits. Within a key only a spanning set of the verified links is returned.
+    The keys hold for at most 3 bits. Each task returns tree edges only: of a group of n at most n - 1, and of all
+    tasks at most one for each of a fingerprint's keys.
     """
     if not 0 <= most <= 3:
         raise ValueError("the segments find differences of 3 bits at most")
@@ -221,8 +271,13 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b): alternating large and small stars, each round written to the shared folder."""
-    e = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    """(node, root) for every node of the edges (a, b): alternating large and small stars, each round written to the shared folder.
+
+    First the edges are dealt by their larger end and contracted in each task, which leaves about one for each node.
+    The table of a round is deleted when the next one is written.
+    """
+    ordered = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    e = written(ordered.repartition("b").mapInArrow(_contract, "a long, b long").distinct())
     mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = mark(e)
     while before[0]:
@@ -231,47 +286,33 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").distinct()
         down = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
         small = large.join(down, large["b"] == down["u"]).select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("a").alias("b")), F.struct(F.col("m").alias("a"), F.col("u").alias("b")))).alias("x")).select("x.a", "x.b")
-        e = written(small.where("a <> b").distinct())
+        old, e = e, written(small.where("a <> b").distinct())
+        discard(old)
         now = mark(e)
         if now == before:
             break
         before = now
-    return e.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    out = e.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    out._leafwork_path = e._leafwork_path
+    return out
 
 
-def fingerprinted(docs: DataFrame, n: int = 1) -> DataFrame:
-    """(doc_id, fp, and fp1 and so on for further fingerprints), written once."""
+def fingerprinted(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp), written once."""
     long_rows(docs.sparkSession)
-    schema = "doc_id long, fp long" + "".join(f", fp{k} long" for k in range(1, n))
-    return written(docs.select("doc_id", "text").mapInArrow(_fingerprints(n), schema))
+    return written(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"))
 
 
-def _further(rows: DataFrame, k: int, most: int) -> DataFrame:
-    """Edges from a document's first fingerprint to a node for its k-th one, and between the latter where they link."""
-    node = lambda c: F.xxhash64(F.lit(k), F.col(c))
-    pairs = written(rows.select("fp", F.col(f"fp{k}").alias("x")).distinct())
-    linked = written(links(pairs.select(F.col("x").alias("fp")).distinct(), most))
-    shared = pairs.groupBy("x").agg(F.count("*").alias("n")).where("n > 1").select("x")
-    touched = shared.unionByName(linked.select(F.explode(F.array("a", "b")).alias("x"))).distinct()
-    own = pairs.join(touched, "x", "left_semi").select(F.col("fp").alias("a"), node("x").alias("b"))
-    return own.unionByName(linked.select(node("a").alias("a"), node("b").alias("b")))
-
-
-def near_duplicates(docs: DataFrame, most: int = 3, n: int = 1) -> DataFrame:
-    """One row per document: doc_id, fingerprint (hex), component_id (smallest doc_id reachable).
-
-    With n fingerprints a document, two documents link if any of their fingerprints do: each further one finds
-    part of the near copies whose first fingerprints differ in more bits.
-    """
-    rows = fingerprinted(docs, n)
+def near_duplicates(docs: DataFrame, most: int = 3) -> DataFrame:
+    """One row per document: doc_id, fingerprint (hex), component_id (smallest doc_id reachable)."""
+    rows = fingerprinted(docs)
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    edges = links(fps, most)
-    for k in range(1, n):
-        edges = edges.unionByName(_further(rows, k, most))
-    nodes = components(edges)
+    nodes = components(links(fps, most))
     rooted = fps.join(nodes, fps["fp"] == nodes["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = rooted.join(least, "root").select("fp", "component_id")
+    of_fp = written(rooted.join(least, "root").select("fp", "component_id"))
+    discard(fps)
+    discard(nodes)
     return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -298,13 +339,13 @@ def _node(text: str | None) -> int:
 
 
 def _noded(n: int):
-    names = ["doc_id", "node", *(f"fp{k}" for k in range(n))]
+    names = ["doc_id", "th", "node", *(f"fp{k}" for k in range(n))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             fps = np.frombuffer(b"".join([fingerprints_of(t, n) for t in texts]), ">i8").astype(np.int64).reshape(-1, n)
-            yield pa.record_batch([batch.column(0), pa.array([_node(t) for t in texts], pa.int64()), *(pa.array(fps[:, k].copy()) for k in range(n))], names=names)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([_node(t) for t in texts], pa.int64()), *(pa.array(fps[:, k].copy()) for k in range(n))], names=names)
 
     return run
 
@@ -389,6 +430,9 @@ def _similar(least: float):
             keep = []
             for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 ra, rb = find(a), find(b)
+                if len(parent) > _NODES:
+                    parent.clear()
+                    ra, rb = find(a), find(b)
                 if ra != rb and similarity(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= least:
                     parent[ra] = rb
                     keep.append((a, b))
@@ -397,17 +441,13 @@ def _similar(least: float):
     return run
 
 
-def similar_components(docs: DataFrame, least: float = LEAST_SIMILARITY, n: int = FINGERPRINTS, most: int = CANDIDATE_BITS) -> DataFrame:
-    """(doc_id, component_id: smallest doc_id reachable) by links of Jaccard similarity `least` or more over five-word shingles.
-
-    Candidates share a Golay key of one of n fingerprints and differ there in at most `most` bits; each is then
-    verified on its whole shingle sets. Texts of the same words are one node.
-    """
+def _similar_rows(docs: DataFrame, least: float, n: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th: hash of the text, node) of every row, and (node, root) of every node; both written."""
     long_rows(docs.sparkSession)
-    rows = written(docs.select("doc_id", "text").mapInArrow(_noded(n), "doc_id long, node long" + "".join(f", fp{k} long" for k in range(n))))
+    schema = "doc_id long, th long, node long" + "".join(f", fp{k} long" for k in range(n))
+    rows = written(docs.select("doc_id", _text_hash().alias("th"), "text").mapInArrow(_noded(n), schema))
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"fp{k}").alias("fp")) for k in range(n))))
-    of_node = rows.select("node", each.alias("x")).select("x.k", "x.fp", "node").distinct()
-    of_node = written(of_node)
+    of_node = written(rows.select("node", each.alias("x")).select("x.k", "x.fp", "node").distinct())
     heads = written(of_node.groupBy("k", "fp").agg(F.min("node").alias("head")))
     same = of_node.join(heads, ["k", "fp"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     keyed = heads.select("k", "fp").mapInArrow(_keyed_all, "key int, fp long")
@@ -415,19 +455,53 @@ def similar_components(docs: DataFrame, least: float = LEAST_SIMILARITY, n: int
     left, right = heads.select("k", F.col("fp").alias("a"), F.col("head").alias("na")), heads.select("k", F.col("fp").alias("b"), F.col("head").alias("nb"))
     crossed = found.join(left, ["k", "a"]).join(right, ["k", "b"]).where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
     candidates = written(same.unionByName(crossed).distinct())
+    discard(of_node)
+    discard(heads)
     touched = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = written(docs.select("text").mapInArrow(_sets, "node long, shingles binary").join(touched, "node", "left_semi").dropDuplicates(["node"]))
     left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    edges = candidates.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(least), "a long, b long")
+    edges = written(candidates.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(least), "a long, b long"))
+    discard(candidates)
+    discard(sets)
     nodes = components(edges)
-    first = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
-    rooted = first.join(nodes, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    discard(edges)
+    return rows, nodes
+
+
+def similar_components(docs: DataFrame, least: float = LEAST_SIMILARITY, n: int = FINGERPRINTS, most: int = CANDIDATE_BITS) -> DataFrame:
+    """(doc_id, th, component_id: smallest doc_id reachable) by links of Jaccard similarity `least` or more over five-word shingles.
+
+    Candidates share a Golay key of one of n fingerprints and differ there in at most `most` bits; each is then
+    verified on its whole shingle sets. Texts of the same words are one node.
+    """
+    rows, nodes = _similar_rows(docs, least, n, most)
+    rooted = _rooted(rows, nodes, F.min("doc_id"))
     id_of = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.select("doc_id", "node").join(rooted.join(id_of, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
+    return rows.select("doc_id", "th", "node").join(rooted.join(id_of, "root").select("node", "component_id"), "node").select("doc_id", "th", "component_id")
+
+
+def _rooted(rows: DataFrame, nodes: DataFrame, first) -> DataFrame:
+    return rows.groupBy("node").agg(first.alias("first")).join(nodes, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
 
 
-def keep_one(docs: DataFrame, least: float = LEAST_SIMILARITY, n: int = FINGERPRINTS) -> DataFrame:
-    """The documents with one of each near-duplicate group: the smallest doc_id; of repeated rows of that doc_id the first by text."""
-    keep = similar_components(docs, least, n).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["keep"]), "left_semi")
-    return kept.withColumn("__leafwork_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__leafwork_nth = 1").drop("__leafwork_nth")
+def _text_hash():
+    return F.xxhash64(F.col("text").isNull(), "text")
+
+
+def keep_one(docs: DataFrame, least: float = LEAST_SIMILARITY, n: int = FINGERPRINTS, most: int = CANDIDATE_BITS) -> DataFrame:
+    """The documents with one of each near-duplicate group: that of the smallest doc_id (null last), then of the smallest text hash.
+
+    A document is its doc_id and its text: texts that repeat nothing stay whether or not their doc_id is null or shared.
+    Of rows with the same doc_id and the same text one stays, the first by their other columns.
+    """
+    rows, nodes = _similar_rows(docs, least, n, most)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "th")
+    keep = written(_rooted(rows, nodes, F.min(own)).groupBy("root").agg(F.min("first").alias("m")).select("m.*"))
+    discard(rows)
+    discard(nodes)
+    marked = docs.withColumns({"__leafwork_id": F.coalesce("doc_id", F.lit(0)), "__leafwork_none": F.col("doc_id").isNull(), "__leafwork_th": _text_hash()})
+    keep = keep.select(F.col("id").alias("__leafwork_id"), F.col("none").alias("__leafwork_none"), F.col("th").alias("__leafwork_th"))
+    kept = marked.join(keep, keep.columns, "left_semi")
+    others = F.to_json(F.struct(F.lit(0).alias("__leafwork"), *(c for c in docs.columns if c != "text")))
+    nth = F.row_number().over(Window.partitionBy(*keep.columns).orderBy(others))
+    return kept.withColumn("__leafwork_nth", nth).where("__leafwork_nth = 1").select(*docs.columns)

@@ -470,32 +470,54 @@ def test_fit_takes_a_document_longer_than_the_window():
     assert fit([10, 200_000, 300_000], [1000, 1, 1], 305_000) == [500, 0, 1]
 
 
-def test_further_fingerprints(spark):
-    """Near copies beyond three bits of the first fingerprint are found by a further one, and nothing else is."""
-    draw = np.random.default_rng(9)
-    base = [f"w{x}" for x in draw.integers(0, 5000, 400)]
-    texts = []
-    for i in range(40):
-        words = list(base)
-        for j in draw.integers(0, 400, 4):
-            words[j] = f"n{i}_{j}"
-        texts.append(" ".join(words))
-    texts.append(" ".join(f"z{x}" for x in draw.integers(0, 5000, 400)))
-    fps = [np.frombuffer(simhash.fingerprints_of(t, 4), ">u8") for t in texts]
-    root = list(range(len(texts)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for i, j in itertools.combinations(range(len(texts)), 2):
-        if any((int(a) ^ int(b)).bit_count() <= 3 for a, b in zip(fps[i], fps[j])):
-            a, b = find(i), find(j)
-            root[max(a, b)] = min(a, b)
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(d, n=4).collect()} == {i: find(i) for i in range(len(texts))}
-    assert simhash.fingerprints_of(texts[0], 4)[:8] == simhash.fingerprint(texts[0])
+def test_tree_edges_only(spark):
+    """Edges of a group grow with its members, not with their square, and connect what is connected."""
+    draw = np.random.default_rng(11)
+    base, per_node = int(draw.integers(0, 1 << 62)), []
+    for n in (200, 800, 3200):
+        fps = {base}
+        while len(fps) < n:
+            f = base
+            for b in draw.choice(60, int(draw.integers(1, 4)), replace=False):
+                f ^= 1 << int(b)
+            fps.add(f)
+        edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"))
+        per_node.append(edges.count() / n)
+        assert {r["root"] for r in simhash.components(edges).collect()} == {min(fps)}
+    assert max(per_node) <= 29
+
+
+def test_forest():
+    draw = np.random.default_rng(12)
+    for n in (0, 1, 5, 60):
+        a, b = draw.integers(0, 80, (2, n))
+        root = list(range(80))
+        for x, y in zip(a.tolist(), b.tolist()):
+            x, y = min(root[x], root[y]), max(root[x], root[y])
+            root = [x if r == y else r for r in root]
+        got = dict(zip(*(x.tolist() for x in simhash.forest(a, b)[::-1])))
+        assert got == {i: r for i, r in enumerate(root) if r != i}
+    chain = np.arange(5000)
+    roots, nodes = simhash.forest(chain[:-1], chain[1:])
+    assert (roots == 0).all() and nodes.tolist() == list(range(1, 5000))
+
+
+def test_fingerprint_bit_by_bit():
+    import xxhash
+
+    for text in [*(r[1] for r in ROWS[:6]), "A b C d\u00c4 e\x1cf", "one", "a a a a a a a"]:
+        words = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").split(" ") if w]
+        h = [xxhash.xxh64(" ".join(words[i : i + 3]).encode(), seed=42).intdigest() for i in range(max(1, len(words) - 2))] if words else []
+        want = sum(1 << bit for bit in range(64) if 2 * sum(x >> bit & 1 for x in h) > len(h))
+        assert int.from_bytes(simhash.fingerprint(text), "big") == want
+
+
+def test_keep_one_loses_no_text(spark):
+    """Texts with a null doc_id, and different texts that share one, stay; copies of them go."""
+    rows = [(None, "first text with some words in it"), (None, "second text about something else here"), (None, "first text with some words in it"), (7, "third text which is not like others"), (7, "fourth one is again quite different"), (8, "third text which is not like others"), (None, None), (9, "fourth one is again quite different")]
+    d = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, n long")
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in simhash.keep_one(d).collect())
+    assert got == sorted((i or 0, t or "") for i, t in {r for r in rows if r[0] not in (8, 9)})
 
 
 def test_near_duplicate_stage_similarity(spark):

@@ -1,21 +1,26 @@
 """Substring dedup by hashing lines, and the sentences of lines.
 
 A unit is a line of at least six words, or a sentence of at least six words in
-a line of several sentences (a sentence ends with . ! or ? before white space),
-so that a passage that was pasted into the middle of a line is found as well.
-Shorter lines and sentences are units together with their neighbours: from each
-one the shortest run onward and the shortest run back that have six words, over
-line ends, so that a repeated list, verse, form or short sentence is found too.
-So that a passage of over 50 words is found wherever its sentences are cut, runs
-of 12 to 24 words between boundaries set by the words alone are units as well;
-up to 13 words stay at its start and 26 at its end where its sentences are cut.
-Runs overlap, and each removed one has its row.
+a line of several sentences (a sentence ends with a word whose last character is
+. ! or ?), so that a passage that was pasted into the middle of a line is found
+as well. Shorter lines and sentences are units together with their neighbours:
+from each one the shortest run onward and the shortest run back that have six
+words, over line ends, so that a repeated list, verse, form or short sentence is
+found too. So that a passage of over 50 words is found wherever its sentences are
+cut, runs of 12 to 24 words between boundaries set by the words alone are units
+as well; up to 13 words stay at its start and 26 at its end where its sentences
+are cut. Runs overlap, and each removed one has its row.
 Units are normalised (lower case, white space as single spaces), their 128-bit
 digests are grouped over all documents, the occurrence of lowest rank (doc_id,
 then text hash, then offset) is kept and every other one is removed. Offsets are
 code points of the original text. A sentence in a removed line is not reported
 again.
 
+A very common unit does not land in one task: each Arrow batch marks its
+occurrences beyond the first as repeats on the spot, so that only one a batch is
+grouped by digest. Whatever the batches are, the same units go, and each row
+names the one occurrence that is kept.
+
 Edge cases: null and empty texts have no units and stay as they are; a unit that
 repeats within one document keeps its first place; rows with the same doc_id and
 the same text are one document and are treated alike; a null doc_id ranks first;
@@ -24,8 +29,8 @@ an empty table gives no rows; texts of any length are read whole.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,124 +43,183 @@ from leafwork.llm.common import long_rows, written
 LEAST_WORDS = 6
 #: A repeated passage of so many words is found wherever it stands: REACH + WINDOW - 1 + REACH + REACH + 1 <= PASSAGE.
 PASSAGE, WINDOW, REACH = 51, 12, 13
-_SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?![ \t\r\f\v\n.!?]|\Z)[^.!?\n]*)*[.!?]*[ \t\r\f\v]*")
-_UNITS = "doc_id long, th long, line int, start int, stop int, words int, d1 long, d2 long"
+#: Parts that the rows of a digest with repeats found in batches are dealt over.
+SALT = 16
+_ODD, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+_UNITS = "doc_id long, th long, span long, about long, d1 long, d2 long, known boolean, more boolean"
 
 
-def units(text: str, least: int = LEAST_WORDS) -> Iterator[tuple[int, int, int, int, bytes]]:
-    """(start of the line, start, stop, words, digest) of each unit; lines come with start equal to the line's start and before their sentences.
+@dataclass
+class Units:
+    """Units of a text as arrays: start of the line (of runs: -1 minus their start), start and stop in code points, words, digest."""
 
-    Runs around short units come last, with -1 minus their start in place of the line's start.
-    """
-    at, atoms, every = 0, [], []
-    for line in text.split("\n"):
-        words = line.lower().encode("utf-8", "surrogatepass").split()
-        every += words
-        if len(words) >= least:
-            yield at, at, at + len(line), len(words), xxhash.xxh3_128_digest(b" ".join(words))
-        spans = [m.span() for m in _SENTENCE.finditer(line) if m.end() > m.start()] if words else []
-        if len(spans) > 1:
-            for a, b in spans:
-                part = line[a:b].lower().encode("utf-8", "surrogatepass").split()
-                if len(part) >= least:
-                    yield at, at + a, at + b, len(part), xxhash.xxh3_128_digest(b" ".join(part))
-                if part:
-                    atoms.append((at + a, at + b, part))
-        elif words:
-            atoms.append((at, at + len(line), words))
-        at += len(line) + 1
-    for i, j in runs([len(part) for _, _, part in atoms], least):
-        words = [w for _, _, part in atoms[i:j] for w in part]
-        yield -1 - atoms[i][0], atoms[i][0], atoms[j - 1][1], len(words), xxhash.xxh3_128_digest(b" ".join(words))
-    if len(every) >= PASSAGE:
-        starts, stops = _word_spans(text)
-        for a, b in windows(every):
-            yield -1 - int(starts[a]), int(starts[a]), int(stops[b - 1]), b - a, xxhash.xxh3_128_digest(b" ".join(every[a:b]))
-
-
-def _word_spans(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and stops, in code points, of the words of text as bytes.split() cuts them."""
-    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    edge = np.diff(np.concatenate([[True], (chars == 32) | ((chars >= 9) & (chars <= 13)), [True]]).astype(np.int8))
-    return np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    line: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    words: np.ndarray
+    d1: np.ndarray
+    d2: np.ndarray
+
+
+_POWERS = [np.ones(1, np.uint64)] * 4
 
 
-def windows(words: list[bytes]) -> list[tuple[int, int]]:
-    """Runs of words between boundaries that the words alone decide, from each boundary the shortest onward of WINDOW words.
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers 0 to n of two odd numbers and of their inverses, kept for later texts."""
+    if len(_POWERS[0]) <= n:
+        size = max(n + 1, 2 * len(_POWERS[0]), 1 << 12)
+        for i, base in enumerate((int(_ODD), int(_MORE), pow(int(_ODD), -1, 1 << 64), pow(int(_MORE), -1, 1 << 64))):
+            _POWERS[i] = np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size, base, np.uint64), dtype=np.uint64)])
+    return _POWERS
+
+
+def _mixed(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    h = (h ^ n.astype(np.uint64) ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def units(text: str, least: int = LEAST_WORDS) -> Units | None:
+    """The units of a text, or None where it has fewer than `least` words."""
+    low = text.lower().encode("utf-8", "surrogatepass").split()
+    n = len(low)
+    if n < least:
+        return None
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    edge = np.diff(np.concatenate([[True], (chars == 32) | ((chars >= 9) & (chars <= 13)), [True]]).astype(np.int8))
+    starts, stops = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, low)), ">u8").astype(np.uint64).reshape(-1, 2)
+
+    # lines and sentences as runs of words [from, to)
+    breaks = np.flatnonzero(chars == 10)
+    line = np.searchsorted(breaks, starts)
+    line_start = np.concatenate([[0], breaks + 1])[line]
+    line_stop = np.concatenate([breaks, [len(chars)]])[line]
+    new_line = np.concatenate([[True], line[1:] != line[:-1]])
+    last = chars[stops - 1]
+    ends = (last == 46) | (last == 33) | (last == 63)
+    new_atom = new_line.copy()
+    new_atom[1:] |= ends[:-1]
+    la, sa = np.flatnonzero(new_line), np.flatnonzero(new_atom)
+    lb, sb = np.append(la[1:], n), np.append(sa[1:], n)
+    a_start = np.where(new_line[sa], line_start[sa], starts[sa])
+    a_stop = np.where(np.append(new_line, True)[sb], line_stop[sa], starts[np.minimum(sb, n - 1)])
+
+    keep = lb - la >= least
+    parts = [(line_start[la][keep], line_start[la][keep], line_stop[la][keep], la[keep], lb[keep])]
+    keep = (sb - sa >= least) & ~(new_line[sa] & np.append(new_line, True)[sb])
+    parts.append((line_start[sa][keep], a_start[keep], a_stop[keep], sa[keep], sb[keep]))
+
+    # the shortest runs of sentences that begin, or end, with a short one and have `least` words
+    short = np.flatnonzero(sb - sa < least)
+    on = np.searchsorted(sb, sa[short] + least)
+    back = np.searchsorted(sa, sb[short] - least, "right") - 1
+    i = np.concatenate([short[on < len(sb)], back[back >= 0]])
+    j = np.concatenate([on[on < len(sb)], short[back >= 0]])
+    if len(i):
+        i, j = np.divmod(np.unique(i * np.int64(len(sb)) + j), len(sb))
+        parts.append((-1 - a_start[i], a_start[i], a_stop[j], sa[i], sb[j]))
+    if n >= PASSAGE:
+        a, b = windows(h[:, 0])
+        parts.append((-1 - starts[a], starts[a], stops[b - 1], a, b))
+
+    begin, start, stop, a, b = (np.concatenate(x) for x in zip(*parts))
+    powers = _powers(n)
+    d1, d2 = (
+        _mixed((total[b] - total[a]) * powers[2 + k][a], b - a)
+        for k in (0, 1)
+        for total in [np.concatenate([np.zeros(1, np.uint64), np.cumsum(h[:, k] * powers[k][:n], dtype=np.uint64)])]
+    )
+    return Units(begin, start, stop, b - a, d1, d2)
+
+
+def windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs [from, to) of words, given by their hashes, between boundaries that the words alone decide; from each boundary the shortest onward of WINDOW words.
 
     A boundary is the least hash of two words in some stretch of REACH. In a passage of PASSAGE words the first one
     comes within REACH words, the last one at most REACH + 1 before the end, and a run is at most WINDOW - 1 + REACH
     words long, so one lies within the passage wherever it stands.
     """
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    h = (h[:-1] ^ (h[1:] * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (words[:-1] ^ (words[1:] * _ODD)) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
-    bounds = np.unique(np.lib.stride_tricks.sliding_window_view(h, REACH).argmin(axis=1) + np.arange(len(h) - REACH + 1))
+    least = np.lib.stride_tricks.sliding_window_view(h, REACH).argmin(axis=1) + np.arange(len(h) - REACH + 1)
+    bounds = least[np.concatenate([[True], least[1:] != least[:-1]])]
     on = np.searchsorted(bounds, bounds + WINDOW)
-    return list(zip(bounds[on < len(bounds)].tolist(), bounds[on[on < len(bounds)]].tolist()))
-
-
-def runs(sizes: list[int], least: int) -> list[tuple[int, int]]:
-    """From each short unit the shortest run of units onward, and back, that has `least` words: every short unit of a repeated passage of whole units lies in one within the passage."""
-    out = set()
-    for i, n in enumerate(sizes):
-        if n < least:
-            for step in (1, -1):
-                j, total = i, n
-                while total < least and 0 <= j + step < len(sizes):
-                    j += step
-                    total += sizes[j]
-                if total >= least:
-                    out.add((min(i, j), max(i, j) + 1))
-    return sorted(out)
+    return bounds[on < len(bounds)], bounds[on[on < len(bounds)]]
 
 
 def _units(least: int):
+    """Units of each batch. Of equal ones the first by rank goes on to be grouped by its digest (`more`: others follow it); the others are known to be repeats, which is all their row is for."""
+
+    def marked(doc_ids: pa.Array, hashes: np.ndarray, at: list[int], found: list[Units]) -> pa.RecordBatch:
+        ids = doc_ids.fill_null(0).to_numpy(zero_copy_only=False)
+        none = doc_ids.is_null().to_numpy(zero_copy_only=False)
+        order = np.lexsort((hashes, ids, ~none))
+        rank = np.empty(len(order), np.int64)
+        like = lambda *xs: np.concatenate([[False], np.logical_and.reduce([x[1:] == x[:-1] for x in xs])])
+        rank[order] = np.cumsum(~like(hashes[order], ids[order], none[order]))
+        row = np.repeat(np.array(at, np.int64), [len(u.start) for u in found])
+        line, start, stop, words, d1, d2 = (np.concatenate([getattr(u, c) for u in found]) for c in ("line", "start", "stop", "words", "d1", "d2"))
+        by = np.lexsort((stop, start, rank[row], d2, d1))
+        row, line, start, stop, words, d1, d2 = (x[by] for x in (row, line, start, stop, words, d1, d2))
+        once = ~like(d1, d2, rank[row], start, stop, line)
+        row, line, start, stop, words, d1, d2 = (x[once] for x in (row, line, start, stop, words, d1, d2))
+        begins = ~like(d1, d2)
+        head = np.flatnonzero(begins)[np.cumsum(begins) - 1]
+        # the same words at the same place, with other white space after them, are no repeat of themselves
+        known = (rank[row] != rank[row[head]]) | (start != start[head])
+        more = np.zeros(len(row), bool)
+        more[head[known]] = True
+        take, long = pa.array(row), lambda hi, lo: pa.array(hi.astype(np.int64) << 32 | lo.astype(np.int64) & 0xFFFFFFFF)
+        return pa.record_batch([doc_ids.take(take), pa.array(hashes[row]), long(start, stop), long(line, words), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(known), pa.array(more)], names=["doc_id", "th", "span", "about", "d1", "d2", "known", "more"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, texts = (batch.column(i) for i in range(3))
-            rows, marks, digests = [], [], []
-
-            def flush():
-                n = np.array(marks, np.int32).reshape(-1, 4)
-                d = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-                take = pa.array(rows, pa.int64())
-                return pa.record_batch([ids.take(take), hashes.take(take), *(pa.array(n[:, i].copy()) for i in range(4)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names=["doc_id", "th", "line", "start", "stop", "words", "d1", "d2"])
-
+            ids, hashes, texts = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
+            at, found, n = [], [], 0
             for i, t in enumerate(texts):
-                if (text := t.as_py()) is None:
-                    continue
-                for line, start, stop, words, digest in units(text, least):
-                    rows.append(i)
-                    marks.append((line, start, stop, words))
-                    digests.append(digest)
-                if len(rows) > 100_000:
-                    yield flush()
-                    rows, marks, digests = [], [], []
-            if rows:
-                yield flush()
+                got = units(t.as_py(), least) if t.is_valid else None
+                if got is not None:
+                    at.append(i)
+                    found.append(got)
+                    n += len(got.start)
+                if n > 1_000_000 or found and i + 1 == len(texts):
+                    yield marked(ids, hashes, at, found)
+                    at, found, n = [], [], 0
 
     return run
 
 
+_HIGH, _LOW = (lambda c: F.shiftright(c, 32)), (lambda c: F.shiftright(F.shiftleft(c, 32), 32))
+
+
 def _again(docs: DataFrame, least: int) -> DataFrame:
-    """Every unit that has an occurrence of lower rank, with that of the lowest; sentences of removed lines among them."""
+    """Every unit, with the place of the least rank of its digest as `first` where it was grouped by it: doc_id, th, span, about, d1, d2, known, more, first."""
     long_rows(docs.sparkSession)
     found = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_units(least), _UNITS)
-    rank = F.struct("doc_id", "th", "start")
-    ranked = Window.partitionBy("d1", "d2").orderBy("doc_id", "th", "start").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return found.withColumn("first", F.first(rank).over(ranked)).where(rank > F.col("first"))
+    # known repeats need no grouping: they are dealt by themselves
+    found = found.withColumn("k", F.when(F.col("known"), F.xxhash64("doc_id", "th", "span", "d2")).otherwise(F.col("d1")))
+    ranked = Window.partitionBy("k", "d2", "known").orderBy("doc_id", "th", "span").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return found.withColumn("first", F.first(_place()).over(ranked))
+
+
+def _place():
+    return F.struct("doc_id", "th", _HIGH("span").alias("start"))
 
 
 def repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """One row for each removed unit: doc_id, th (text hash), start_char, end_char, n_words, digest, first_doc_id, first_start of the kept occurrence."""
-    gone = written(_again(docs, least).select("doc_id", "th", "line", "start", "stop", "words", F.concat(F.lower(F.lpad(F.hex("d1"), 16, "0")), F.lower(F.lpad(F.hex("d2"), 16, "0"))).alias("digest"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")))
-    whole = gone.where("start = line").groupBy("doc_id", "th", "line").agg(F.max("stop").alias("until"))
-    g, w = gone.alias("g"), whole.alias("w")
-    on = F.col("g.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("g.th") == F.col("w.th")) & (F.col("g.line") == F.col("w.line"))
+    gone = written(_again(docs, least).where(F.col("known") | (_place() > F.col("first")) | F.col("more")).drop("k"))
+    salt = F.pmod(F.xxhash64("doc_id", "th", "span"), F.lit(SALT)).cast("int")
+    heads = gone.where("more").groupBy("d1", "d2").agg(F.min("first").alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    known = gone.where("known").drop("first").withColumn("salt", salt).join(heads, ["d1", "d2", "salt"])
+    rows = gone.where(~F.col("known") & (_place() > F.col("first"))).unionByName(known.drop("salt"))
+    rows = rows.where(_place() > F.col("first")).withColumns({"line": _HIGH("about"), "start": _HIGH("span"), "stop": _LOW("span")})
     # a line that is removed reaches further than its first sentence and covers all of them
-    keep = F.col("w.until").isNull() | ((F.col("g.start") == F.col("g.line")) & (F.col("g.stop") == F.col("w.until"))) | (F.col("g.stop") > F.col("w.until"))
-    return g.join(w, on, "left").where(keep).select("g.doc_id", "g.th", F.col("start").alias("start_char"), F.col("stop").alias("end_char"), F.col("words").alias("n_words"), "digest", "first_doc_id", "first_start").distinct()
+    of_line = Window.partitionBy("doc_id", "th", "line")
+    rows = rows.dropDuplicates(["doc_id", "th", "line", "span", "d1", "d2"]).withColumn("until", F.max(F.when(F.col("start") == F.col("line"), F.col("stop"))).over(of_line))
+    keep = F.col("until").isNull() | ((F.col("start") == F.col("line")) & (F.col("stop") == F.col("until"))) | (F.col("stop") > F.col("until"))
+    digest = F.concat(F.lower(F.lpad(F.hex("d1"), 16, "0")), F.lower(F.lpad(F.hex("d2"), 16, "0")))
+    return rows.where(keep).select("doc_id", "th", F.col("start").cast("int").alias("start_char"), F.col("stop").cast("int").alias("end_char"), _LOW("about").cast("int").alias("n_words"), digest.alias("digest"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").cast("int").alias("first_start"))
 
 
 def _cut(text: str, spans) -> str:
@@ -169,7 +233,7 @@ def _cut(text: str, spans) -> str:
 
 def without_repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """All rows and columns of docs, with the repeated units cut out of text."""
-    spans = _again(docs, least).groupBy("doc_id", "th").agg(F.collect_list(F.struct(F.col("start").alias("start_char"), F.col("stop").alias("end_char"))).alias("__l_spans"))
+    spans = _again(docs, least).where(F.col("known") | (_place() > F.col("first"))).groupBy("doc_id", "th").agg(F.collect_list("span").alias("__l_spans"))
     spans = spans.select(F.col("doc_id").alias("__l_id"), F.col("th").alias("__l_th"), "__l_spans")
     joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["__l_id"]) & (F.xxhash64(docs["text"]) == spans["__l_th"]), "left").select(docs["*"], "__l_spans")
     names, schema = docs.columns, docs.schema
@@ -178,7 +242,7 @@ def without_repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, spans = batch.column(where), batch.column(len(names))
-            new = [t if s is None or t is None else _cut(t, [(x["start_char"], x["end_char"]) for x in s]) for t, s in zip(text.to_pylist(), spans.to_pylist())]
+            new = [t if s is None or t is None else _cut(t, {(x >> 32, x & 0xFFFFFFFF) for x in s}) for t, s in zip(text.to_pylist(), spans.to_pylist())]
             columns = [batch.column(i) for i in range(len(names))]
             columns[where] = pa.array(new, pa.string())
             yield pa.record_batch(columns, names=names)

@@ -2,11 +2,13 @@
 
 import hashlib
 import itertools
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -373,20 +375,68 @@ def test_repeats(spark, docs, empty):
     assert linededup.repeats(empty).count() == 0 and linededup.without_repeats(empty).count() == 0
 
 
-def test_repeats_brute_force(small):
+_SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?![ \t\r\f\v\n.!?]|\Z)[^.!?\n]*)*[.!?]*[ \t\r\f\v]*")
+
+
+def _plain_units(text, least=6):
+    """(kind, line, start, stop, normalised words) of every unit, cut by a pattern and by loops."""
+    norm = lambda x: " ".join(w.decode() for w in x.lower().encode().split())
+    at, atoms, out = 0, [], []
+    for line in text.split("\n"):
+        if len(norm(line).split(" ")) >= least and norm(line):
+            out.append(("line", at, at, at + len(line), norm(line)))
+        spans = [m.span() for m in _SENTENCE.finditer(line) if m.end() > m.start()] if norm(line) else []
+        for a, b in spans if len(spans) > 1 else []:
+            if norm(line[a:b]).count(" ") >= least - 1:
+                out.append(("sentence", at, at + a, at + b, norm(line[a:b])))
+        atoms += [(at + a, at + b, norm(line[a:b])) for a, b in spans] if len(spans) > 1 else [(at, at + len(line), norm(line))] if norm(line) else []
+        at += len(line) + 1
+    sizes, pairs = [x.count(" ") + 1 for _, _, x in atoms], set()
+    for i, n in enumerate(sizes):
+        for step in (1, -1) if n < least else ():
+            j, total = i, n
+            while total < least and 0 <= j + step < len(sizes):
+                j += step
+                total += sizes[j]
+            if total >= least:
+                pairs.add((min(i, j), max(i, j)))
+    out += [("run", None, atoms[i][0], atoms[j][1], " ".join(x for _, _, x in atoms[i : j + 1])) for i, j in pairs]
+    spans = [m.span() for m in re.finditer(r"[^ \t-\r]+", text)]
+    if len(spans) >= linededup.PASSAGE:
+        low = text.lower().encode().split()
+        h = np.array([xxhash.xxh3_128_intdigest(w) >> 64 for w in low], np.uint64)
+        out += [("window", None, spans[a][0], spans[b - 1][1], " ".join(w.decode() for w in low[a:b])) for a, b in zip(*(x.tolist() for x in linededup.windows(h)))]
+    return out
+
+
+def test_units_by_pattern(small):
+    texts = [r["text"] for r in small.collect()] + [r[1] for r in ROWS] + [" a. b? c ... d.e f! \t\n\n . x\r\n y z \x1c w. ", "Eins zwei drei vier fünf sechs \nsieben. Acht!  ", "İ a b c d e f. g"]
+    for text in texts:
+        u = linededup.units(text or "")
+        got = list(zip(*(x.tolist() for x in (u.start, u.stop, u.words)))) if u else []
+        want = [(start, stop, words.count(" ") + 1) for _, _, start, stop, words in _plain_units(text or "")]
+        assert sorted(got) == sorted(want)
+        if u:
+            assert {(s, e) for line, s, e in zip(u.line, u.start, u.stop) if line >= 0} == {(s, e) for kind, _, s, e, _ in _plain_units(text) if kind in ("line", "sentence")}
+
+
+def test_repeats_brute_force(small, spark):
+    """The same units go as by plain cutting and a dictionary, whatever the batches are."""
+    docs = small.unionByName(spark.createDataFrame([(10_000 + i, "The same line stands in very many texts.\nnumber %d is all that differs" % (i % 40)) for i in range(300)], "doc_id long, text string"), allowMissingColumns=True)
     first, want = {}, set()
-    for r in sorted(small.collect(), key=lambda r: r["doc_id"]):
-        whole = set()
-        for line, start, stop, _, digest in linededup.units(r["text"] or ""):
-            old = first.setdefault(digest, (r["doc_id"], start))
-            if old != (r["doc_id"], start):
-                if start == line and (stop == len(r["text"]) or r["text"][stop] == "\n"):
-                    whole.add(line)
-                    want.add((r["doc_id"], start, stop))
-                elif line not in whole:
-                    want.add((r["doc_id"], start, stop))
-    got = {(r["doc_id"], r["start_char"], r["end_char"]) for r in linededup.repeats(small).collect()}
-    assert got == want
+    for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
+        whole = {}
+        for kind, line, start, stop, words in sorted(_plain_units(r["text"] or ""), key=lambda x: x[2]):
+            if first.setdefault(words, (r["doc_id"], start)) != (r["doc_id"], start):
+                whole.setdefault(line, set()).add((kind, start, stop, words))
+        for line, found in whole.items():
+            covered = line is not None and any(kind == "line" for kind, *_ in found)
+            want |= {(r["doc_id"], start, stop, *first[words]) for kind, start, stop, words in found if kind != "sentence" or not covered}
+    for d, rows in ((docs.coalesce(1), 2000), (docs.repartition(7), 37)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        got = [(r["doc_id"], r["start_char"], r["end_char"], r["first_doc_id"], r["first_start"]) for r in linededup.repeats(d).collect()]
+        assert set(got) == want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10000)
 
 
 def test_repeats_of_short_units(spark):
@@ -503,8 +553,6 @@ def test_forest():
 
 
 def test_fingerprint_bit_by_bit():
-    import xxhash
-
     for text in [*(r[1] for r in ROWS[:6]), "A b C d\u00c4 e\x1cf", "one", "a a a a a a a"]:
         words = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").replace("\t", " ").replace("\n", " ").split(" ") if w]
         h = [xxhash.xxh64(" ".join(words[i : i + 3]).encode(), seed=42).intdigest() for i in range(max(1, len(words) - 2))] if words else []

@@ -8,7 +8,10 @@ costs in the next shorter context. A context a language never saw is skipped
 without cost; a byte unseen at order 0 costs 8 bits more. There is no exclusion.
 Costs are kept in units of 2^-16 bit, so that sums do not depend on the order of
 adding. A text starts in the context of three line feeds. The language with the
-shortest code is predicted.
+shortest code is predicted. The pipeline's stage rejects what no learned language
+codes well: texts without a letter, and texts whose shortest code exceeds 4.5 bits
+a byte and 64 bits once (noise, keys and numbers, scripts that were not learned);
+prose takes 2 to 3 bits a byte. Where lang is null it enters the prediction.
 
 Edge cases: null, empty and letterless texts are `und` with score 0; a tie goes
 to the first language by name; without any labelled text every prediction is
@@ -22,7 +25,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafwork.llm.common import fold, long_rows, pieces
@@ -32,8 +36,8 @@ UNIT = 1 << 16
 #: Bounds of the sample that the trees are learned from.
 DOCS_PER_LANGUAGE = 500
 BYTES_PER_LANGUAGE = 2_000_000
-#: A text whose shortest code reaches this many bits a byte is no text of a learned language.
-REJECT_BITS = 8.0
+#: A text whose shortest code takes more than so many bits a byte, and so many once for its beginning, is no text of a learned language.
+REJECT_BITS, ONCE_BITS = 4.5, 64.0
 
 
 class Trees:
@@ -116,14 +120,12 @@ def sample(docs: DataFrame, most_docs: int = DOCS_PER_LANGUAGE) -> DataFrame:
 
 
 def learn(docs: DataFrame, most_docs: int = DOCS_PER_LANGUAGE, most_bytes: int = BYTES_PER_LANGUAGE) -> Trees | None:
-    """Trees from a sample of at most most_bytes of text a language (a first text may exceed it)."""
+    """Trees from a sample of at most most_bytes of text a language: in order of the hash, as long as the bytes so far fit. The cut is made before anything comes to the driver; single texts longer than that are not learned from."""
+    so_far = Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = sample(docs, most_docs).where(F.octet_length("text") <= most_bytes).withColumn("so_far", F.sum(F.octet_length("text")).over(so_far)).where(F.col("so_far") <= most_bytes)
     texts: dict[str, list[str]] = {}
-    sizes: dict[str, int] = {}
-    for r in sorted(sample(docs, most_docs).collect(), key=lambda r: (r["h"], r["text"])):  # about most_docs rows a language
-        n = len(r["text"].encode("utf-8", "surrogatepass"))
-        if sizes.get(r["lang"], 0) + n <= most_bytes or r["lang"] not in texts:
-            texts.setdefault(r["lang"], []).append(r["text"])
-            sizes[r["lang"]] = sizes.get(r["lang"], 0) + n
+    for r in sorted(fits.select("lang", "so_far", "text").collect(), key=lambda r: (r["lang"], r["so_far"])):
+        texts.setdefault(r["lang"], []).append(r["text"])
     return Trees(texts) if texts else None
 
 
@@ -166,18 +168,28 @@ def identified(docs: DataFrame, folds: int = 3, held: int = 1) -> DataFrame:
     return predict(docs, model).select("doc_id", (fold("doc_id", folds) == held).alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
-def keep_known(docs: DataFrame, trees: Trees | None, reject_bits: float = REJECT_BITS) -> DataFrame:
-    """The rows whose text has a letter and a shortest code below reject_bits a byte; all columns pass through."""
+def keep_known(docs: DataFrame, trees: Trees | None, reject_bits: float = REJECT_BITS, once_bits: float = ONCE_BITS) -> DataFrame:
+    """The rows whose text has a letter and a shortest code of at most reject_bits a byte and once_bits once; all columns pass through, a null lang becomes the predicted one. Without trees only the letters count."""
     long_rows(docs.sparkSession)
+    lettered = docs.where(F.col("text").rlike(r"\p{L}"))
     if trees is None:
-        return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+        return lettered
     shared, where = docs.sparkSession.sparkContext.broadcast(trees), docs.columns.index("text")
+    lang = docs.columns.index("lang") if "lang" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        names = pa.array(model.languages, pa.string())
         for batch in batches:
-            fine = [model.lengths(raw, at).min(1) < reject_bits * UNIT * np.diff(at) for _, raw, at in pieces(batch.column(where), 1_000_000)]
-            if fine:
-                yield batch.filter(pa.array(np.concatenate(fine)))
+            parts = [(model.lengths(raw, at), np.diff(at)) for _, raw, at in pieces(batch.column(where), 1_000_000)]
+            if parts:
+                bits, size = np.concatenate([b for b, _ in parts]), np.concatenate([n for _, n in parts])
+                if lang is not None:
+                    batch = batch.set_column(lang, batch.schema.names[lang], _filled(batch.column(lang), names.take(pa.array(bits.argmin(1)))))
+                yield batch.filter(pa.array(bits.min(1) <= UNIT * (reject_bits * size + once_bits)))
 
-    return docs.where(F.col("text").rlike(r"\p{L}")).mapInArrow(run, docs.schema)
+    return lettered.mapInArrow(run, docs.schema)
+
+
+def _filled(values: pa.Array, others: pa.Array) -> pa.Array:
+    return pc.if_else(values.is_null(), others.cast(values.type), values)

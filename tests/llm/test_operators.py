@@ -179,6 +179,27 @@ def test_language(docs, small, empty):
     assert kept.columns == docs.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 1, 2, 5, 5, 6, 8]
 
 
+def test_language_stage_rejects_noise(spark, small):
+    """Noise, keys, numbers and a script that was not learned go; prose and short texts stay; a null lang is filled."""
+    draw = np.random.default_rng(3)
+    letters = lambda n: "".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), n))
+    junk = [letters(400), " ".join(letters(9) for _ in range(50)), "4" * 30 + letters(200), "Съешь же ещё этих мягких французских булок " * 3, "1234 567", ""]
+    d = small.select("doc_id", "text", "lang").where("length(text) > 40").unionByName(spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate([*junk, "Hey."])], "doc_id long, text string, lang string"))
+    nothing = d.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
+    got = {r["doc_id"]: r["lang"] for r in language.keep_known(nothing, language.learn(small)).collect()}
+    assert min(got) == -7 and not set(range(-6, 0)) & set(got)
+    want = {r["doc_id"]: r["lang"] for r in d.collect() if r["doc_id"] >= 0}
+    kept = [i for i in want if i in got]
+    assert len(kept) >= 0.99 * len(want) and np.mean([got[i] == want[i] for i in kept]) > 0.95
+
+
+def test_language_sample_is_bounded(spark):
+    rows = [(i, "abc def ghi " * (1 + i % 50), "en") for i in range(300)] + [(1000, "q" * 5000, "en"), (1001, "nur ein Text", "de")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    t = language.learn(d, most_bytes=4000)
+    assert t.languages == ["de", "en"] and t.symbol[ord("q")] == 0
+
+
 # -- 5 ------------------------------------------------------------------------
 
 

@@ -10,8 +10,8 @@ found too. So that a passage of over 50 words is found wherever its sentences ar
 cut, runs of 12 to 24 words between boundaries set by the words alone are units
 as well; up to 13 words stay at its start and 26 at its end where its sentences
 are cut. Runs overlap, and each removed one has its row.
-Units are normalised (lower case, white space as single spaces), their 128-bit
-digests are grouped over all documents, the occurrence of lowest rank (doc_id,
+Units are normalised (lower case, white space as single spaces), their 96-bit
+digests and numbers of words are grouped over all documents, the occurrence of lowest rank (doc_id,
 then text hash, then offset) is kept and every other one is removed. Offsets are
 code points of the original text. A sentence in a removed line is not reported
 again.
@@ -46,7 +46,8 @@ PASSAGE, WINDOW, REACH = 51, 12, 13
 #: Parts that the rows of a digest with repeats found in batches are dealt over.
 SALT = 16
 _ODD, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
-_UNITS = "doc_id long, th long, span long, about long, d1 long, d2 long, known boolean, more boolean"
+#: span: start and stop in 32 bits each; d2: number of words and 32 bits of the digest. What rows of a document share stands first, what is mostly zero last, and rows come by document, so that the shuffle's blocks compress.
+_UNITS = "doc_id long, th long, span long, d1 long, d2 long, line int, known boolean, more boolean"
 
 
 @dataclass
@@ -159,18 +160,20 @@ def _units(least: int):
         rank[order] = np.cumsum(~like(hashes[order], ids[order], none[order]))
         row = np.repeat(np.array(at, np.int64), [len(u.start) for u in found])
         line, start, stop, words, d1, d2 = (np.concatenate([getattr(u, c) for u in found]) for c in ("line", "start", "stop", "words", "d1", "d2"))
+        d2 = words << 32 | (d2 >> np.uint64(32)).astype(np.int64)
         by = np.lexsort((stop, start, rank[row], d2, d1))
-        row, line, start, stop, words, d1, d2 = (x[by] for x in (row, line, start, stop, words, d1, d2))
+        row, line, start, stop, d1, d2 = (x[by] for x in (row, line, start, stop, d1, d2))
         once = ~like(d1, d2, rank[row], start, stop, line)
-        row, line, start, stop, words, d1, d2 = (x[once] for x in (row, line, start, stop, words, d1, d2))
+        row, line, start, stop, d1, d2 = (x[once] for x in (row, line, start, stop, d1, d2))
         begins = ~like(d1, d2)
         head = np.flatnonzero(begins)[np.cumsum(begins) - 1]
         # the same words at the same place, with other white space after them, are no repeat of themselves
         known = (rank[row] != rank[row[head]]) | (start != start[head])
         more = np.zeros(len(row), bool)
         more[head[known]] = True
-        take, long = pa.array(row), lambda hi, lo: pa.array(hi.astype(np.int64) << 32 | lo.astype(np.int64) & 0xFFFFFFFF)
-        return pa.record_batch([doc_ids.take(take), pa.array(hashes[row]), long(start, stop), long(line, words), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(known), pa.array(more)], names=["doc_id", "th", "span", "about", "d1", "d2", "known", "more"])
+        by = np.argsort(row, kind="stable")
+        row, span, d1, d2, line, known, more = (x[by] for x in (row, start << 32 | stop, d1.view(np.int64), d2, line.astype(np.int32), known, more))
+        return pa.record_batch([doc_ids.take(pa.array(row)), pa.array(hashes[row]), *map(pa.array, (span, d1, d2, line, known, more))], names=["doc_id", "th", "span", "d1", "d2", "line", "known", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,33 +196,39 @@ _HIGH, _LOW = (lambda c: F.shiftright(c, 32)), (lambda c: F.shiftright(F.shiftle
 
 
 def _again(docs: DataFrame, least: int) -> DataFrame:
-    """Every unit, with the place of the least rank of its digest as `first` where it was grouped by it: doc_id, th, span, about, d1, d2, known, more, first."""
+    """Every unit, with the place of the least rank of its digest as `first` where it was grouped by it.
+
+    Known repeats need no grouping: their d1 is mixed with their own place, which deals them evenly; mixing it again gives it back.
+    """
     long_rows(docs.sparkSession)
     found = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_units(least), _UNITS)
-    # known repeats need no grouping: they are dealt by themselves
-    found = found.withColumn("k", F.when(F.col("known"), F.xxhash64("doc_id", "th", "span", "d2")).otherwise(F.col("d1")))
-    ranked = Window.partitionBy("k", "d2", "known").orderBy("doc_id", "th", "span").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = found.withColumn("d1", _dealt())
+    ranked = Window.partitionBy("d1", "d2").orderBy("doc_id", "th", "span").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return found.withColumn("first", F.first(_place()).over(ranked))
 
 
+def _dealt():
+    return F.when(F.col("known"), F.col("d1").bitwiseXOR(F.xxhash64("doc_id", "th", "span"))).otherwise(F.col("d1"))
+
+
 def _place():
     return F.struct("doc_id", "th", _HIGH("span").alias("start"))
 
 
 def repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """One row for each removed unit: doc_id, th (text hash), start_char, end_char, n_words, digest, first_doc_id, first_start of the kept occurrence."""
-    gone = written(_again(docs, least).where(F.col("known") | (_place() > F.col("first")) | F.col("more")).drop("k"))
-    salt = F.pmod(F.xxhash64("doc_id", "th", "span"), F.lit(SALT)).cast("int")
+    gone = written(_again(docs, least).where(F.col("known") | (_place() > F.col("first")) | F.col("more")))
     heads = gone.where("more").groupBy("d1", "d2").agg(F.min("first").alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    known = gone.where("known").drop("first").withColumn("salt", salt).join(heads, ["d1", "d2", "salt"])
+    salt = F.pmod(F.xxhash64("doc_id", "th", "span"), F.lit(SALT)).cast("int")
+    known = gone.where("known").drop("first").withColumn("d1", _dealt()).withColumn("salt", salt).join(heads, ["d1", "d2", "salt"])
     rows = gone.where(~F.col("known") & (_place() > F.col("first"))).unionByName(known.drop("salt"))
-    rows = rows.where(_place() > F.col("first")).withColumns({"line": _HIGH("about"), "start": _HIGH("span"), "stop": _LOW("span")})
+    rows = rows.where(_place() > F.col("first")).withColumns({"start": _HIGH("span"), "stop": _LOW("span")})
     # a line that is removed reaches further than its first sentence and covers all of them
     of_line = Window.partitionBy("doc_id", "th", "line")
     rows = rows.dropDuplicates(["doc_id", "th", "line", "span", "d1", "d2"]).withColumn("until", F.max(F.when(F.col("start") == F.col("line"), F.col("stop"))).over(of_line))
     keep = F.col("until").isNull() | ((F.col("start") == F.col("line")) & (F.col("stop") == F.col("until"))) | (F.col("stop") > F.col("until"))
-    digest = F.concat(F.lower(F.lpad(F.hex("d1"), 16, "0")), F.lower(F.lpad(F.hex("d2"), 16, "0")))
-    return rows.where(keep).select("doc_id", "th", F.col("start").cast("int").alias("start_char"), F.col("stop").cast("int").alias("end_char"), _LOW("about").cast("int").alias("n_words"), digest.alias("digest"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").cast("int").alias("first_start"))
+    digest = F.concat(F.lower(F.lpad(F.hex("d1"), 16, "0")), F.lower(F.lpad(F.hex(_LOW("d2").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")))
+    return rows.where(keep).select("doc_id", "th", F.col("start").cast("int").alias("start_char"), F.col("stop").cast("int").alias("end_char"), _HIGH("d2").cast("int").alias("n_words"), digest.alias("digest"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").cast("int").alias("first_start"))
 
 
 def _cut(text: str, spans) -> str:

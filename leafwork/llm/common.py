@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -53,6 +54,12 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished jobs: Spark deletes them once the driver has collected what refers to them."""
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+
+
 def fold(key: str, n: int) -> Column:
     """crc32 of the key's decimal text, modulo n; null keys are in fold 0."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % n, F.lit(0))

@@ -69,23 +69,30 @@ class Trees:
         # rows: the empty context, then the contexts seen at each order, by code
         contexts = [np.zeros(1, np.int64)] + [np.unique(np.concatenate([grams[n, k][0] // a for n in self.languages])) for k in range(1, ORDER + 1)]
         first = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
-        cost = np.zeros((first[-1], a, many), np.float64)
+        self.cost = np.zeros((first[-1], a, many), np.int32)
+        shorter = np.full((1, a, many), 8.0)
         for k, codes in enumerate(contexts):
-            if k == 0:
-                below = np.full((1, a, many), 8.0)
+            if k:
+                shorter, below = cost, np.searchsorted(contexts[k - 1], codes % a ** (k - 1))
             else:
-                shorter = np.searchsorted(contexts[k - 1], codes % a ** (k - 1)) + first[k - 1]
-                below = cost[shorter]
-            count = np.zeros((len(codes), a, many))
-            for m, n in enumerate(self.languages):
-                g, c = grams[n, k]
-                count[np.searchsorted(codes, g // a), g % a, m] = c
-            total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                own = -np.log2(count / (total + kinds))
-                escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
-            cost[first[k] : first[k + 1]] = np.where(count > 0, own, escape + below)
-        self.cost = np.rint(cost * UNIT).astype(np.int32).reshape(-1, many)
+                below = np.zeros(1, np.int64)
+            cost = np.zeros((len(codes) if k < ORDER else 0, a, many))
+            for lo in range(0, len(codes), 2048):  # in parts: the counts of all contexts would not be small
+                part = codes[lo : lo + 2048]
+                count = np.zeros((len(part), a, many))
+                for m, n in enumerate(self.languages):
+                    g, c = grams[n, k]
+                    i, j = np.searchsorted(g, [part[0] * a, (part[-1] + 1) * a])
+                    count[np.searchsorted(part, g[i:j] // a), g[i:j] % a, m] = c[i:j]
+                total, kinds = count.sum(1, keepdims=True), (count > 0).sum(1, keepdims=True)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    own = -np.log2(count / (total + kinds))
+                    escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
+                got = np.where(count > 0, own, escape + shorter[below[lo : lo + 2048]])
+                self.cost[first[k] + lo : first[k] + lo + len(part)] = np.rint(got * UNIT)
+                if k < ORDER:
+                    cost[lo : lo + len(part)] = got
+        self.cost = self.cost.reshape(-1, many)
         row = np.zeros(1, np.int32)
         for k in range(1, ORDER + 1):  # row of each context of order k: its own, else that of the shorter one
             row = np.tile(row, a)

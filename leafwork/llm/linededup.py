@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,13 +39,17 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import long_rows, written
+from leafwork.llm.common import long_rows, release, written
 
 LEAST_WORDS = 6
 #: A repeated passage of so many words is found wherever it stands: REACH + WINDOW - 1 + REACH + REACH + 1 <= PASSAGE.
 PASSAGE, WINDOW, REACH = 51, 12, 13
 #: Parts that the rows of a digest with repeats found in batches are dealt over.
 SALT = 16
+#: Passes over the texts, each for the digests of one remainder: the shuffle of units, wider than the texts, is on disk by parts only.
+PASSES = 2
+#: Units that a task marks at once.
+_MARKED = 250_000
 _ODD, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 #: span: start and stop in 32 bits each; d2: number of words and 32 bits of the digest. What rows of a document share stands first, what is mostly zero last, and rows come by document, so that the shuffle's blocks compress.
 _UNITS = "doc_id long, th long, span long, d1 long, d2 long, line int, known boolean, more boolean"
@@ -148,7 +153,7 @@ def windows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bounds[on < len(bounds)], bounds[on[on < len(bounds)]]
 
 
-def _units(least: int):
+def _units(least: int, part: int):
     """Units of each batch. Of equal ones the first by rank goes on to be grouped by its digest (`more`: others follow it); the others are known to be repeats, which is all their row is for."""
 
     def marked(doc_ids: pa.Array, hashes: np.ndarray, at: list[int], found: list[Units]) -> pa.RecordBatch:
@@ -156,17 +161,19 @@ def _units(least: int):
         none = doc_ids.is_null().to_numpy(zero_copy_only=False)
         order = np.lexsort((hashes, ids, ~none))
         rank = np.empty(len(order), np.int64)
-        like = lambda *xs: np.concatenate([[False], np.logical_and.reduce([x[1:] == x[:-1] for x in xs])])
+        like = lambda *xs: np.concatenate([[False], np.logical_and.reduce([x[1:] == x[:-1] for x in xs])])[: len(xs[0])]
         rank[order] = np.cumsum(~like(hashes[order], ids[order], none[order]))
         row = np.repeat(np.array(at, np.int64), [len(u.start) for u in found])
         line, start, stop, words, d1, d2 = (np.concatenate([getattr(u, c) for u in found]) for c in ("line", "start", "stop", "words", "d1", "d2"))
         d2 = words << 32 | (d2 >> np.uint64(32)).astype(np.int64)
+        own = d1 % np.uint64(PASSES) == part
+        row, line, start, stop, d1, d2 = (x[own] for x in (row, line, start, stop, d1, d2))
         by = np.lexsort((stop, start, rank[row], d2, d1))
         row, line, start, stop, d1, d2 = (x[by] for x in (row, line, start, stop, d1, d2))
         once = ~like(d1, d2, rank[row], start, stop, line)
         row, line, start, stop, d1, d2 = (x[once] for x in (row, line, start, stop, d1, d2))
         begins = ~like(d1, d2)
-        head = np.flatnonzero(begins)[np.cumsum(begins) - 1]
+        head = np.flatnonzero(begins)[np.cumsum(begins) - 1] if len(row) else row
         # the same words at the same place, with other white space after them, are no repeat of themselves
         known = (rank[row] != rank[row[head]]) | (start != start[head])
         more = np.zeros(len(row), bool)
@@ -185,7 +192,7 @@ def _units(least: int):
                     at.append(i)
                     found.append(got)
                     n += len(got.start)
-                if n > 1_000_000 or found and i + 1 == len(texts):
+                if n > _MARKED or found and i + 1 == len(texts):
                     yield marked(ids, hashes, at, found)
                     at, found, n = [], [], 0
 
@@ -195,18 +202,27 @@ def _units(least: int):
 _HIGH, _LOW = (lambda c: F.shiftright(c, 32)), (lambda c: F.shiftright(F.shiftleft(c, 32), 32))
 
 
-def _again(docs: DataFrame, least: int) -> DataFrame:
-    """Every unit, with the place of the least rank of its digest as `first` where it was grouped by it.
+def _again(docs: DataFrame, least: int, part: int) -> DataFrame:
+    """Every unit of the pass, with the place of the least rank of its digest as `first` where it was grouped by it.
 
     Known repeats need no grouping: their d1 is mixed with their own place, which deals them evenly; mixing it again gives it back.
     """
     long_rows(docs.sparkSession)
-    found = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_units(least), _UNITS)
+    found = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(_units(least, part), _UNITS)
     found = found.withColumn("d1", _dealt())
     ranked = Window.partitionBy("d1", "d2").orderBy("doc_id", "th", "span").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return found.withColumn("first", F.first(_place()).over(ranked))
 
 
+def _passes(docs: DataFrame, least: int, of) -> DataFrame:
+    """What `of` takes from the units of each pass, written; the shuffle of one pass is released before the next one."""
+    out = []
+    for part in range(PASSES):
+        out.append(written(of(_again(docs, least, part))))
+        release(docs.sparkSession)
+    return reduce(DataFrame.unionByName, out)
+
+
 def _dealt():
     return F.when(F.col("known"), F.col("d1").bitwiseXOR(F.xxhash64("doc_id", "th", "span"))).otherwise(F.col("d1"))
 
@@ -217,7 +233,7 @@ def _place():
 
 def repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """One row for each removed unit: doc_id, th (text hash), start_char, end_char, n_words, digest, first_doc_id, first_start of the kept occurrence."""
-    gone = written(_again(docs, least).where(F.col("known") | (_place() > F.col("first")) | F.col("more")))
+    gone = _passes(docs, least, lambda found: found.where(F.col("known") | (_place() > F.col("first")) | F.col("more")))
     heads = gone.where("more").groupBy("d1", "d2").agg(F.min("first").alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     salt = F.pmod(F.xxhash64("doc_id", "th", "span"), F.lit(SALT)).cast("int")
     known = gone.where("known").drop("first").withColumn("d1", _dealt()).withColumn("salt", salt).join(heads, ["d1", "d2", "salt"])
@@ -242,8 +258,8 @@ def _cut(text: str, spans) -> str:
 
 def without_repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """All rows and columns of docs, with the repeated units cut out of text."""
-    spans = _again(docs, least).where(F.col("known") | (_place() > F.col("first"))).groupBy("doc_id", "th").agg(F.collect_list("span").alias("__l_spans"))
-    spans = spans.select(F.col("doc_id").alias("__l_id"), F.col("th").alias("__l_th"), "__l_spans")
+    spans = _passes(docs, least, lambda found: found.where(F.col("known") | (_place() > F.col("first"))).select("doc_id", "th", "span"))
+    spans = spans.groupBy(F.col("doc_id").alias("__l_id"), F.col("th").alias("__l_th")).agg(F.collect_set("span").alias("__l_spans"))
     joined = docs.join(spans, docs["doc_id"].eqNullSafe(spans["__l_id"]) & (F.xxhash64(docs["text"]) == spans["__l_th"]), "left").select(docs["*"], "__l_spans")
     names, schema = docs.columns, docs.schema
     where = names.index("text")

@@ -34,6 +34,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 _CHUNK = 1 << 16
 #: Nodes a task remembers the trees of.
 _NODES = 1 << 20
+#: Edges that one task contracts at once (32 MB).
+EDGES_A_TASK = 1 << 21
 #: Fingerprints a document that the stage takes keys from.
 FINGERPRINTS = 4
 #: Bits in which a candidate's fingerprints that share a key may differ, when shingle sets are compared afterwards.
@@ -183,7 +185,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class _Trees:
     """Edges of one task, contracted whenever many have come together: what goes out are tree edges, one for each node but the roots."""
 
-    def __init__(self, most: int = 1 << 19):
+    def __init__(self, most: int = EDGES_A_TASK):
         self.parts, self.n, self.most = [], 0, most
 
     def add(self, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -273,11 +275,14 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the edges (a, b): alternating large and small stars, each round written to the shared folder.
 
-    First the edges are dealt by their larger end and contracted in each task, which leaves about one for each node.
-    The table of a round is deleted when the next one is written.
+    First the edges are dealt by their larger end and contracted in each task, then again in tasks of about
+    EDGES_A_TASK: what is left is about one for each node. The table of a round is deleted when the next one is written.
     """
     ordered = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    e = written(ordered.repartition("b").mapInArrow(_contract, "a long, b long").distinct())
+    dealt = written(ordered.repartition("b").mapInArrow(_contract, "a long, b long").distinct())
+    tasks = 1 + dealt.count() // EDGES_A_TASK
+    e = written(dealt.coalesce(tasks).mapInArrow(_contract, "a long, b long").distinct())
+    discard(dealt)
     mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = mark(e)
     while before[0]:

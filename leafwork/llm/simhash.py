@@ -344,13 +344,13 @@ def _node(text: str | None) -> int:
 
 
 def _noded(n: int):
-    names = ["doc_id", "th", "node", *(f"fp{k}" for k in range(n))]
+    names = ["doc_id", "th", "node", "classes", *(f"fp{k}" for k in range(n))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             fps = np.frombuffer(b"".join([fingerprints_of(t, n) for t in texts]), ">i8").astype(np.int64).reshape(-1, n)
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([_node(t) for t in texts], pa.int64()), *(pa.array(fps[:, k].copy()) for k in range(n))], names=names)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array([_node(t) for t in texts], pa.int64()), pa.array([classes_of(shingle_set(t)) for t in texts], pa.int64()), *(pa.array(fps[:, k].copy()) for k in range(n))], names=names)
 
     return run
 
@@ -362,12 +362,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The keys of each (k, fp), with k above the 26 bits of a key."""
+    """The keys of each (k, fp, head, classes), with k above the 26 bits of a key."""
     for batch in batches:
-        k, fps = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        k, fps, heads, classes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         for at in range(0, len(fps), 4096):
             rows, keys = keys_of(fps[at : at + 4096].view(np.uint64))
-            yield pa.record_batch([pa.array((keys | k[at : at + 4096][rows].astype(np.int64) << 26).astype(np.int32)), pa.array(fps[at : at + 4096][rows])], names=["key", "fp"])
+            keys = (keys | k[at : at + 4096][rows].astype(np.int64) << 26).astype(np.int32)
+            yield pa.record_batch([pa.array(keys), pa.array(fps[at : at + 4096][rows]), pa.array(heads[at : at + 4096][rows]), pa.array(classes[at : at + 4096][rows])], names=["key", "fp", "node", "classes"])
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -376,46 +377,72 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def run_pairs(f: np.ndarray, most: int, small: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a run's fingerprints within `most` bits: all of a short run; of a long one those with a root each, so that a large group gives no square of pairs."""
-    left, right = [], []
-    f = f[np.argsort(_mixed(f), kind="stable")]  # the same order in all runs, so that large groups meet the same few roots
-    while len(f) > 1:
-        near = np.bitwise_count(f[1:] ^ f[0]) <= most
-        left.append(np.full(int(near.sum()), f[0]))
-        right.append(f[1:][near])
-        f = f[1:] if len(f) <= small else f[1:][~near]
-    return np.concatenate(left or [f[:0]]), np.concatenate(right or [f[:0]])
-
-
-def _pairs(most: int):
+    """Pairs of places in a run, given in order of hubs, whose fingerprints lie within `most` bits: all of a short run; of a long one those with a root each, so that a large group gives no square of pairs."""
+    left, right, at = [], [], np.arange(len(f))
+    while len(at) > 1:
+        near = np.bitwise_count(f[at[1:]] ^ f[at[0]]) <= most
+        left.append(np.full(int(near.sum()), at[0]))
+        right.append(at[1:][near])
+        at = at[1:] if len(at) <= small else at[1:][~near]
+    return np.concatenate(left or [at[:0]]), np.concatenate(right or [at[:0]])
+
+
+def classes_of(shingles: np.ndarray) -> int:
+    """How many of a set's hashes lie in each of eight classes, a byte each; -1 where a byte does not hold them."""
+    counts = np.bincount(shingles & 7, minlength=8)
+    return -1 if counts.max() > 254 else int(counts.astype(np.uint8).view(np.int64)[0])
+
+
+def most_similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The greatest similarity that sets with these classes can have: a class shares at most the lesser of its counts."""
+    x, y = (c.view(np.uint8).reshape(-1, 8).astype(np.int64) for c in (a, b))
+    both, all_ = np.minimum(x, y).sum(1), np.maximum(x, y).sum(1)
+    return np.where((a == -1) | (b == -1) | (all_ == 0), 1.0, both / np.maximum(all_, 1))
+
+
+def _pairs(most: int, least: float):
+    """Candidates (a, b) of a task's runs: near enough, and not too different in their classes to be as similar as `least`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail_k, tail_f = np.zeros(0, np.int32), np.zeros(0, np.uint64)
+        kinds = (np.int32, np.uint64, np.int64, np.int64)
+        tail, found, n = [np.zeros(0, t) for t in kinds], [], 0
 
-        def pairs(k, f):
+        def pairs(k, f, node, classes):
+            order = np.lexsort((_mixed(node.view(np.uint64)), k))  # the same hubs in all runs of all fingerprints
+            k, f, node, classes = (np.ascontiguousarray(x[order]) for x in (k, f, node, classes))
             edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
             size = np.diff(np.concatenate([edge, [len(k)]]))
-            a, b, which = [], [], []
             two = edge[size == 2]
             two = two[np.bitwise_count(f[two] ^ f[two + 1]) <= most]
-            a.append(f[two]), b.append(f[two + 1]), which.append(k[two] >> 26)
-            for lo, n in zip(edge[size > 2].tolist(), size[size > 2].tolist()):
-                x, y = run_pairs(f[lo : lo + n], most)
-                a.append(x), b.append(y), which.append(np.full(len(x), k[lo] >> 26, np.int32))
-            a, b, which = np.concatenate(a), np.concatenate(b), np.concatenate(which).astype(np.int32)
-            seen = np.unique(np.stack([which.astype(np.uint64), np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-            return pa.record_batch([pa.array(seen[:, 0].astype(np.int32)), pa.array(seen[:, 1].copy().view(np.int64)), pa.array(seen[:, 2].copy().view(np.int64))], names=["k", "a", "b"])
+            got = [(two, two + 1)]
+            for lo, m in zip(edge[size > 2].tolist(), size[size > 2].tolist()):
+                x, y = run_pairs(f[lo : lo + m], most)
+                got.append((x + lo, y + lo))
+            a, b = (np.concatenate(x) for x in zip(*got))
+            fit = (most_similar(classes[a], classes[b]) >= least) & (node[a] != node[b])
+            a, b = node[a[fit]], node[b[fit]]
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+            return len(a)
+
+        def distinct():
+            rows = np.unique(np.concatenate(found), axis=0)
+            found.clear()
+            return pa.record_batch([pa.array(rows[:, i].copy()) for i in range(2)], names=["a", "b"])
 
         for batch in batches:
-            k = np.concatenate([tail_k, batch.column(0).to_numpy(zero_copy_only=False)])
-            f = np.concatenate([tail_f, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-            if not len(k):
+            now = [np.concatenate([t, batch.column(i).to_numpy(zero_copy_only=False).view(t.dtype)]) for i, t in enumerate(tail)]
+            if not len(now[0]):
                 continue
-            cut = int(np.searchsorted(k, k[-1], "left"))
-            tail_k, tail_f = k[cut:], f[cut:]
-            if cut:
-                yield pairs(k[:cut], f[:cut])
-        if len(tail_k):
-            yield pairs(tail_k, tail_f)
+            cut = int(np.searchsorted(now[0], now[0][-1], "left"))
+            tail = [x[cut:] for x in now]
+            n += pairs(*(x[:cut] for x in now)) if cut else 0
+            if n > _NODES // 4:
+                yield distinct()
+                n = 0
+        if len(tail[0]):
+            pairs(*tail)
+        if found:
+            yield distinct()
 
     return run
 
@@ -449,17 +476,15 @@ def _similar(least: float):
 def _similar_rows(docs: DataFrame, least: float, n: int, most: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th: hash of the text, node) of every row, and (node, root) of every node; both written."""
     long_rows(docs.sparkSession)
-    schema = "doc_id long, th long, node long" + "".join(f", fp{k} long" for k in range(n))
+    schema = "doc_id long, th long, node long, classes long" + "".join(f", fp{k} long" for k in range(n))
     rows = written(docs.select("doc_id", _text_hash().alias("th"), "text").mapInArrow(_noded(n), schema))
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"fp{k}").alias("fp")) for k in range(n))))
-    of_node = written(rows.select("node", each.alias("x")).select("x.k", "x.fp", "node").distinct())
-    heads = written(of_node.groupBy("k", "fp").agg(F.min("node").alias("head")))
-    same = of_node.join(heads, ["k", "fp"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
-    keyed = heads.select("k", "fp").mapInArrow(_keyed_all, "key int, fp long")
-    found = keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_pairs(most), "k int, a long, b long").distinct()
-    left, right = heads.select("k", F.col("fp").alias("a"), F.col("head").alias("na")), heads.select("k", F.col("fp").alias("b"), F.col("head").alias("nb"))
-    crossed = found.join(left, ["k", "a"]).join(right, ["k", "b"]).where("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b"))
-    candidates = written(same.unionByName(crossed).distinct())
+    of_node = written(rows.select("node", "classes", each.alias("x")).select("x.k", "x.fp", "node", "classes").distinct())
+    heads = written(of_node.groupBy("k", "fp").agg(F.min(F.struct("node", "classes")).alias("x")).select("k", "fp", F.col("x.node").alias("head"), "x.classes"))
+    same = of_node.select("k", "fp", "node").join(heads, ["k", "fp"]).where("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
+    keyed = heads.select("k", "fp", "head", "classes").mapInArrow(_keyed_all, "key int, fp long, node long, classes long")
+    found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(most, least), "a long, b long")
+    candidates = written(same.unionByName(found).distinct())
     discard(of_node)
     discard(heads)
     touched = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -476,8 +501,8 @@ def _similar_rows(docs: DataFrame, least: float, n: int, most: int) -> tuple[Dat
 def similar_components(docs: DataFrame, least: float = LEAST_SIMILARITY, n: int = FINGERPRINTS, most: int = CANDIDATE_BITS) -> DataFrame:
     """(doc_id, th, component_id: smallest doc_id reachable) by links of Jaccard similarity `least` or more over five-word shingles.
 
-    Candidates share a Golay key of one of n fingerprints and differ there in at most `most` bits; each is then
-    verified on its whole shingle sets. Texts of the same words are one node.
+    Candidates share a Golay key of one of n fingerprints and differ there in at most `most` bits; those that counts
+    of their shingles by class show to be less similar fall out, and each other one is verified on its whole sets. Texts of the same words are one node.
     """
     rows, nodes = _similar_rows(docs, least, n, most)
     rooted = _rooted(rows, nodes, F.min("doc_id"))

@@ -607,6 +607,16 @@ def test_near_duplicate_stage_similarity(spark):
     assert sum(i not in kept for i, _, near in rows[1::2] if near) >= 0.95 * wanted
 
 
+def test_classes_bound_the_similarity():
+    draw = np.random.default_rng(8)
+    for n in (0, 1, 30, 300, 5000):
+        a = np.unique(draw.integers(0, 1 << 32, n).astype(np.uint32))
+        b = np.unique(np.concatenate([a[: int(n * draw.random())], draw.integers(0, 1 << 32, n // 3).astype(np.uint32)]))
+        bound = simhash.most_similar(*(np.array([simhash.classes_of(x)]) for x in (a, b)))[0]
+        assert bound >= simhash.similarity(a, b)
+        assert simhash.classes_of(a) == -1 if n == 5000 else bound == (np.minimum(*(np.bincount(x & 7, minlength=8) for x in (a, b))).sum() / max(1, np.maximum(*(np.bincount(x & 7, minlength=8) for x in (a, b))).sum()) if n else 1.0)
+
+
 def test_near_duplicate_stage_large_group(spark):
     """A large group of near copies, copies in other case and space, empty and null texts: one of each stays."""
     draw = np.random.default_rng(5)

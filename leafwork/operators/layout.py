@@ -144,7 +144,7 @@ def clean_layout(page: Page) -> Page:
     return nms([b for i, b in enumerate(order) if i not in gone])
 
 
-def resolve_overlaps(page: Page, most: float = 0.85, part: float = 0.06) -> Page:
+def resolve_overlaps(page: Page, most: float = 0.86, part: float = 0.06) -> Page:
     """Nothing is dropped: of two much alike blocks of a type the less sure one shrinks, once."""
     out: Page = []
     for kind in dict.fromkeys(b.type for b in page):

@@ -66,11 +66,11 @@ def document_type(spark, d):
     return X.load(spark, d, "documents").select("doc_id", kind.alias("document_type"))
 
 
-@query("repeating_headers", X.with_("SELECT doc_id, seq, h FROM (SELECT doc_id, seq, md5(text) AS h, count(*) OVER (PARTITION BY md5(text)) AS n FROM blocks WHERE y0 < 3300 * 0.15 OR y1 > 3300 * 0.85) WHERE n >= 2", X.BLOCKS))
+@query("repeating_headers", X.with_("SELECT doc_id, seq, h FROM (SELECT doc_id, seq, md5(text) AS h, count(*) OVER (PARTITION BY doc_id, md5(text)) AS n FROM blocks WHERE y0 < 3300 * 0.15 OR y1 > 3300 * 0.85) WHERE n >= 2", X.BLOCKS))
 def repeating_headers(spark, d):
-    """Blocks at the top or bottom of a page whose text is there twice or more: counted first, then joined back."""
+    """Blocks at the top or bottom of a page whose text the document has there twice or more: counted first, then joined back."""
     edge = X.blocks(spark, d).where((F.col("y0") < 495.0) | (F.col("y1") > 2805.0)).select("doc_id", "seq", F.md5("text").alias("h"))
-    return edge.join(edge.groupBy("h").agg(F.count("*").alias("n")).where("n >= 2").select("h"), "h", "left_semi").select("doc_id", "seq", "h")
+    return edge.join(edge.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n >= 2").select("doc_id", "h"), ["doc_id", "h"], "left_semi").select("doc_id", "seq", "h")
 
 
 @query("extracted_fields", X.with_("SELECT doc_id, type AS label, max_by(text, seq) AS value FROM blocks GROUP BY ALL", X.BLOCKS))

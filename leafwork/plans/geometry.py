@@ -91,11 +91,15 @@ _anti("suppress_in_form", "a.type <> 'table'", "b.type = 'form'", f"({IOU} > 0.7
 _anti("drop_redundant_text", "a.type IN ('text', 'title')", "b.type IN ('form', 'table')", f"{INSIDE} > 0.8", lambda: G.share_inside(A_(), B_()) > 0.8)
 
 
-@query("checkbox_neighbour", X.with_("SELECT a.doc_id, a.seq FROM blocks a WHERE a.type = 'form' AND EXISTS (SELECT 1 FROM blocks b WHERE b.doc_id = a.doc_id AND b.type = 'form' AND b.seq <> a.seq AND abs((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2) <= 2 * (a.x1 - a.x0) AND abs((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2) <= 2 * (a.x1 - a.x0))", X.BLOCKS))
-def checkbox_neighbour(spark, d):
+_BESIDE = """(a.x0, a.y0, a.x1, a.y1) <> (b.x0, b.y0, b.x1, b.y1) AND sqrt(power((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2, 2) + power((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2, 2)) <= {times} * greatest(a.x1 - a.x0, a.y1 - a.y0)"""
+
+
+@query("checkbox_neighbour", X.with_("SELECT a.doc_id, a.seq FROM blocks a WHERE a.type = 'form' AND EXISTS (SELECT 1 FROM blocks b WHERE b.doc_id = a.doc_id AND b.type = 'form' AND " + _BESIDE.format(times=1.65) + ")", X.BLOCKS))
+def checkbox_neighbour(spark, d, strictness: float = 0.7):
+    """Checkboxes with another one of another box whose middle is within 2 - strictness / 2 times the longer side."""
     f = X.blocks(spark, d).where("type = 'form'")
-    near = "a.doc_id = b.doc_id and a.seq <> b.seq and abs((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2) <= 2 * (a.x1 - a.x0) and abs((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2) <= 2 * (a.x1 - a.x0)"
-    return f.alias("a").join(f.alias("b"), F.expr(near), "left_semi").select("doc_id", "seq")
+    beside = _BESIDE.format(times=2.0 - 0.5 * strictness).replace("(a.x0, a.y0, a.x1, a.y1) <> (b.x0, b.y0, b.x1, b.y1)", "struct(a.x0, a.y0, a.x1, a.y1) <> struct(b.x0, b.y0, b.x1, b.y1)")
+    return f.alias("a").join(f.alias("b"), F.expr("a.doc_id = b.doc_id AND " + beside), "left_semi").select("doc_id", "seq")
 
 
 @query("detector_filter", X.with_("SELECT doc_id, seq, type FROM blocks WHERE confidence >= CASE WHEN type IN ('text', 'title', 'list', 'form', 'figure') THEN greatest(0.15, 0.8 * 0.7)::DOUBLE WHEN type = 'table' THEN greatest(0.2, 0.8 * 0.85)::DOUBLE ELSE 0.8 END", X.BLOCKS))
@@ -104,14 +108,14 @@ def detector_filter(spark, d, threshold: float = 0.8):
     return X.blocks(spark, d).where(F.col("confidence") >= least).select("doc_id", "seq", "type")
 
 
-_BIG = f"(x1 - x0) * (y1 - y0) / {W * H} > 0.02"
+_BIG = f"(x1 - x0) * (y1 - y0) / {W * H} > 0.85"
 
 
 @query("drop_giant", X.with_(f"SELECT doc_id, seq FROM (SELECT *, count(*) FILTER (NOT ({_BIG})) OVER (PARTITION BY doc_id) AS rest FROM blocks) WHERE rest < 3 OR NOT ({_BIG})", X.BLOCKS))
-def drop_giant(spark, d):
+def drop_giant(spark, d, most: float = 0.85):
     """Blocks that cover too much of the page go, unless fewer than three would be left."""
     from pyspark.sql import Window
 
-    big = G.area(B()) / (W * H) > 0.02
+    big = G.area(B()) / (W * H) > most
     rest = F.count_if(~big).over(Window.partitionBy("doc_id"))
     return X.blocks(spark, d).withColumn("rest", rest).where((F.col("rest") < 3) | ~big).select("doc_id", "seq")

@@ -38,10 +38,12 @@ def systematic_sample(spark, d):
 
 
 _IN = "ax BETWEEN zx0 AND zx1 AND ay BETWEEN zy0 AND zy1"
-_NEAR = "ax BETWEEN zx0 - 12 AND zx1 + 12 AND ay BETWEEN zy0 - 12 AND zy1 + 12"
+_NEAR = "ax BETWEEN px0 AND px1 AND ay BETWEEN py0 AND py1"
+_PADDED = """(SELECT *, greatest(0, zx0 - greatest(trunc((zx1 - zx0) * 0.15::DOUBLE), 8)) AS px0, greatest(0, zy0 - greatest(trunc((zy1 - zy0) * 0.15::DOUBLE), 8)) AS py0,
+  least(2550, zx1 + greatest(trunc((zx1 - zx0) * 0.15::DOUBLE), 8)) AS px1, least(3300, zy1 + greatest(trunc((zy1 - zy0) * 0.15::DOUBLE), 8)) AS py1 FROM zones)"""
 MATCHED = f"""matched AS (SELECT * FROM (SELECT w.*, z.zone, z.ord, CASE WHEN {_IN} THEN 1 ELSE 2 END AS priority,
-  row_number() OVER (PARTITION BY w.doc_id, w.pos ORDER BY CASE WHEN {_IN} THEN 1 ELSE 2 END, (zx1 - zx0) * (zy1 - zy0), z.ord) AS nth
-  FROM (SELECT *, (x0 + x1) / 2 AS ax, y0 + least(2.0, 0.2::DOUBLE * greatest(1.0, y1 - y0)) AS ay FROM words) w JOIN zones z ON {_NEAR}) WHERE nth = 1)"""
+  row_number() OVER (PARTITION BY w.doc_id, w.pos ORDER BY CASE WHEN {_IN} THEN 1 ELSE 2 END, CASE WHEN {_IN} THEN (zx1 - zx0) * (zy1 - zy0) ELSE (px1 - px0) * (py1 - py0) END, z.ord) AS nth
+  FROM (SELECT *, (x0 + x1) / 2 AS ax, y0 + least(2.0, 0.2::DOUBLE * greatest(1.0, y1 - y0)) AS ay FROM words) w JOIN {_PADDED} z ON {_NEAR}) WHERE nth = 1)"""
 
 
 @query("zone_match_unique", X.with_("SELECT doc_id, pos, zone, priority FROM matched", X.WORDS, X.ZONES, MATCHED))
@@ -49,7 +51,7 @@ def zone_match_unique(spark, d):
     return Z.match_unique(X.words(spark, d), X.zones(spark)).select("doc_id", "pos", "zone", "priority")
 
 
-@query("zone_match_overlap", X.with_("SELECT doc_id, pos, zone FROM words JOIN zones ON least(x1, zx1 + 12) > greatest(x0, zx0 - 12) AND least(y1, zy1 + 12) > greatest(y0, zy0 - 12)", X.WORDS, X.ZONES))
+@query("zone_match_overlap", X.with_(f"SELECT doc_id, pos, zone FROM words JOIN {_PADDED} z ON least(x1, px1) > greatest(x0, px0) AND least(y1, py1) > greatest(y0, py0)", X.WORDS, X.ZONES))
 def zone_match_overlap(spark, d):
     return Z.match_overlap(X.words(spark, d), X.zones(spark)).select("doc_id", "pos", "zone")
 

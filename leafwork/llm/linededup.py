@@ -236,11 +236,14 @@ def repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     heads = gone.where("more").groupBy("d1", "d2").agg(F.min("first").alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     salt = F.pmod(F.xxhash64("doc_id", "th", "span"), F.lit(SALT)).cast("int")
     known = gone.where("known").drop("first").withColumn("d1", _dealt()).withColumn("salt", salt).join(heads, ["d1", "d2", "salt"])
-    rows = gone.where(~F.col("known") & (_place() > F.col("first"))).unionByName(known.drop("salt"))
+    # written, so that the shuffle of this join is gone before the next one
+    rows = gone.where(~F.col("known") & (_place() > F.col("first"))).unionByName(written(known.drop("salt")))
     rows = rows.where(_place() > F.col("first")).withColumns({"start": _HIGH("span"), "stop": _LOW("span")})
     # a line that is removed reaches further than its first sentence and covers all of them
-    of_line = Window.partitionBy("doc_id", "th", "line")
-    rows = rows.repartition("doc_id", "th", "line").dropDuplicates(["doc_id", "th", "line", "span", "d1", "d2"]).withColumn("until", F.max(F.when(F.col("start") == F.col("line"), F.col("stop"))).over(of_line))
+    of_line = Window.partitionBy("doc_id", "th", "line").orderBy("span", "d1", "d2")
+    before = F.lag(F.struct("span", "d1", "d2")).over(of_line)
+    until = F.max(F.when(F.col("start") == F.col("line"), F.col("stop"))).over(of_line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    rows = rows.select("*", before.alias("before"), until.alias("until")).where(F.col("before").isNull() | (F.col("before") != F.struct("span", "d1", "d2")))
     keep = F.col("until").isNull() | ((F.col("start") == F.col("line")) & (F.col("stop") == F.col("until"))) | (F.col("stop") > F.col("until"))
     digest = F.concat(F.lower(F.lpad(F.hex("d1"), 16, "0")), F.lower(F.lpad(F.hex(_LOW("d2").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")))
     return rows.where(keep).select("doc_id", "th", F.col("start").cast("int").alias("start_char"), F.col("stop").cast("int").alias("end_char"), _HIGH("d2").cast("int").alias("n_words"), digest.alias("digest"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").cast("int").alias("first_start"))

@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-from leafwork.plans import documents, geometry, joins, layout, records, scalars  # noqa: E402, F401
+from leafwork.plans import documents, gates, geometry, joins, layout, records, scalars  # noqa: E402, F401

@@ -356,9 +356,20 @@ def _noded(n: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of each node, once a task (or once for each _NODES of them), so that a large group of copies is no hot key."""
+    seen: set[int] = set()
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        yield pa.record_batch([pa.array([_node(t) for t in texts], pa.int64()), pa.array([shingle_set(t).tobytes() for t in texts], pa.binary())], names=["node", "shingles"])
+        nodes, sets = [], []
+        for text in batch.column(0).to_pylist():
+            node = _node(text)
+            if node in seen:
+                continue
+            if len(seen) >= _NODES:
+                seen.clear()
+            seen.add(node)
+            nodes.append(node)
+            sets.append(shingle_set(text).tobytes())
+        yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
 
 def _keyed_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,6 +43,13 @@ CANDIDATE_BITS = 14
 #: Near copies of the stage: Jaccard similarity over shingles of so many words.
 LEAST_SIMILARITY = 0.8
 SHINGLE = 5
+#: Members of a run that are held against each other at once, if that gives no more than PAIRS_A_MEMBER pairs each.
+RUN = 64
+PAIRS_A_MEMBER = 4
+#: Classes of the counts that pairs between components are held against before they are joined.
+WIDE = 256
+#: Pairs of a member with other components that the first round takes; each further round takes that many times more.
+ROUND = 64
 
 
 def fingerprints_of(text: str | None, n: int = 1, width: int = 3) -> bytes:
@@ -391,7 +398,8 @@ def run_pairs(f: np.ndarray, classes: np.ndarray, most: int, least: float, small
     """Pairs of places in a run, given in order of hubs, whose fingerprints lie within `most` bits and whose classes allow a similarity of `least`.
 
     All of a short run; of a long one those with a root each, so that a large group gives no square of pairs. What
-    its classes tell apart from a root stays, to be held against the next ones.
+    its classes tell apart from a root stays, to be held against the next ones. The other pairs of a long run are
+    left to `pairs_across`, once it is known which members these pairs link.
     """
     left, right, at = [], [], np.arange(len(f))
     while len(at) > 1:
@@ -405,6 +413,43 @@ def run_pairs(f: np.ndarray, classes: np.ndarray, most: int, least: float, small
     return np.concatenate(left or [at[:0]]), np.concatenate(right or [at[:0]])
 
 
+def pairs_across(f: np.ndarray, classes: np.ndarray, wide: np.ndarray, roots: np.ndarray, most: int, least: float, each: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places in a run between members of different components that run_pairs would take, and whose wide classes allow `least` as well.
+
+    Of a member outside the run's largest component the first `each` pairs; third: whether it has more, at its last one.
+    """
+    names, own, size = np.unique(roots, return_inverse=True, return_counts=True)
+    left, right, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    outside = own != size.argmax()
+    for i in np.flatnonzero(outside):
+        at = np.flatnonzero((own != own[i]) & (np.bitwise_count(f ^ f[i]) <= most))
+        at = at[(at > i) | ~outside[at]]  # a pair outside once
+        at = at[most_similar(classes[i : i + 1], classes[at]) >= least]
+        fit, n = [at[:0]], 0
+        for lo in range(0, len(at), 4096):
+            some = at[lo : lo + 4096]
+            fit.append(some[most_similar_wide(wide[i], wide[some]) >= least])
+            if (n := n + len(fit[-1])) > each:
+                break
+        fit = np.concatenate(fit)[:each]
+        left.append(np.full(len(fit), i))
+        right.append(fit)
+        more.append((np.arange(len(fit)) == each - 1) & (n > each))
+    return np.concatenate(left), np.concatenate(right), np.concatenate(more)
+
+
+def wide_classes_of(shingles: np.ndarray) -> np.ndarray:
+    """How many of a set's hashes lie in each of WIDE classes, a byte each; all 255 where a byte does not hold them."""
+    counts = np.bincount(shingles & (WIDE - 1), minlength=WIDE)
+    return np.full(WIDE, 255, np.uint8) if counts.max() > 254 else counts.astype(np.uint8)
+
+
+def most_similar_wide(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The greatest similarity that a set with the wide classes x can have with those of each row of y."""
+    both, all_ = np.minimum(x, y).sum(1, dtype=np.int64), np.maximum(x, y).sum(1, dtype=np.int64)
+    return np.where((x[0] == 255) | (y[:, 0] == 255) | (all_ == 0), 1.0, both / np.maximum(all_, 1))
+
+
 def classes_of(shingles: np.ndarray) -> int:
     """How many of a set's hashes lie in each of eight classes, a byte each; -1 where a byte does not hold them."""
     counts = np.bincount(shingles & 7, minlength=8)
@@ -419,11 +464,15 @@ def most_similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _pairs(most: int, least: float):
-    """Candidates (a, b) of a task's runs: near enough, and not too different in their classes to be as similar as `least`."""
+    """Candidates (a, b) of a task's runs: near enough, and not too different in their classes to be as similar as `least`.
+
+    A run whose candidates are not all of its pairs that are so follows whole, as rows (key, fp, a: node, classes).
+    """
+    names = ["key", "fp", "a", "b", "classes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (np.int32, np.uint64, np.int64, np.int64)
-        tail, found, n = [np.zeros(0, t) for t in kinds], [], 0
+        tail, found, left, n = [np.zeros(0, t) for t in kinds], [], [], 0
 
         def pairs(k, f, node, classes):
             order = np.lexsort((_mixed(node.view(np.uint64)), k))  # the same hubs in all runs of all fingerprints
@@ -434,18 +483,27 @@ def _pairs(most: int, least: float):
             two = two[np.bitwise_count(f[two] ^ f[two + 1]) <= most]
             got = [(two, two + 1)]
             for lo, m in zip(edge[size > 2].tolist(), size[size > 2].tolist()):
-                x, y = run_pairs(f[lo : lo + m], classes[lo : lo + m], most, least)
+                one = slice(lo, lo + m)
+                x, y = run_pairs(f[one], classes[one], most, least, small=m if m <= RUN else 8)
+                if m > 8 and (m > RUN and len(x) or len(x) > PAIRS_A_MEMBER * m):
+                    x, y = run_pairs(f[one], classes[one], most, least)
+                    left.append((k[one], f[one], node[one], classes[one]))
                 got.append((x + lo, y + lo))
             a, b = (np.concatenate(x) for x in zip(*got))
             fit = (most_similar(classes[a], classes[b]) >= least) & (node[a] != node[b])
             a, b = node[a[fit]], node[b[fit]]
             found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-            return len(a)
+            return len(a) + sum(len(x[0]) for x in left)
 
         def distinct():
             rows = np.unique(np.concatenate(found), axis=0)
             found.clear()
-            return pa.record_batch([pa.array(rows[:, i].copy()) for i in range(2)], names=["a", "b"])
+            none = [pa.nulls(len(rows), t) for t in (pa.int32(), pa.int64(), pa.int64())]
+            yield pa.record_batch([none[0], none[1], *(pa.array(rows[:, i].copy()) for i in range(2)), none[2]], names=names)
+            if left:
+                k, f, node, classes = (np.concatenate(x) for x in zip(*left))
+                left.clear()
+                yield pa.record_batch([pa.array(k), pa.array(f.view(np.int64)), pa.array(node), pa.nulls(len(k), pa.int64()), pa.array(classes)], names=names)
 
         for batch in batches:
             now = [np.concatenate([t, batch.column(i).to_numpy(zero_copy_only=False).view(t.dtype)]) for i, t in enumerate(tail)]
@@ -455,16 +513,56 @@ def _pairs(most: int, least: float):
             tail = [x[cut:] for x in now]
             n += pairs(*(x[:cut] for x in now)) if cut else 0
             if n > _NODES // 4:
-                yield distinct()
+                yield from distinct()
                 n = 0
         if len(tail[0]):
             pairs(*tail)
         if found:
-            yield distinct()
+            yield from distinct()
+
+    return run
+
+
+def _across(most: int, least: float, each: int):
+    """Of runs, in order of their key, the pairs (a, b, more) between components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = None
+
+        def pairs(k, f, node, classes, root, wide):
+            order = np.lexsort((_mixed(node.view(np.uint64)), k))
+            k, f, node, classes, root, wide = (np.ascontiguousarray(x[order]) for x in (k, f, node, classes, root, wide))
+            edge = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1], [True]]))
+            got = []
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                x, y, more = pairs_across(f[lo:hi], classes[lo:hi], wide[lo:hi], root[lo:hi], most, least, each)
+                got.append((node[lo:hi][x], node[lo:hi][y], more))
+            a, b, more = (np.concatenate(x) for x in zip(*got))
+            return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(more)], names=["a", "b", "more"])
+
+        for batch in batches:
+            now = [batch.column(i).to_numpy(zero_copy_only=False).view(t) for i, t in enumerate((np.int32, np.uint64, np.int64, np.int64, np.int64))]
+            now.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(-1, WIDE))
+            if not len(now[0]):
+                continue
+            if tail:
+                now = [np.concatenate(x) for x in zip(tail, now)]
+            cut = int(np.searchsorted(now[0], now[0][-1], "left"))
+            tail = [x[cut:] for x in now]
+            if cut:
+                yield pairs(*(x[:cut] for x in now))
+        if tail:
+            yield pairs(*tail)
 
     return run
 
 
+def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        wide = [wide_classes_of(np.frombuffer(x, np.uint32)).tobytes() for x in batch.column(1).to_pylist()]
+        yield pa.record_batch([batch.column(0), pa.array(wide, pa.binary())], names=["node", "wide"])
+
+
 def _similar(least: float):
     """Of pairs with their sets, those at least that similar, less those that close a circle within the task."""
 
@@ -491,6 +589,37 @@ def _similar(least: float):
     return run
 
 
+def _links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Of the pairs (a, b), those whose sets are at least that similar, less some that close a circle; written."""
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(least), "a long, b long"))
+
+
+def _linked_across(runs: DataFrame, sets: DataFrame, nodes: DataFrame, least: float, most: int) -> DataFrame:
+    """The components (node, root) after all pairs of the runs between different ones were compared.
+
+    A member's pairs come in rounds of ROUND times as many as before, since most need none once a few have linked it;
+    the last round is the one that holds none back. Pairs that were found different come again in the next round.
+    """
+    wide = written(sets.join(runs.select("node").distinct(), "node", "left_semi").mapInArrow(_widened, "node long, wide binary"))
+    each = ROUND
+    while True:
+        rooted = runs.join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node")).join(wide, "node")
+        keyed = rooted.select("key", "fp", "node", "classes", "root", "wide").repartition("key").sortWithinPartitions("key")
+        pairs = written(keyed.mapInArrow(_across(most, least, each), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")))
+        more = pairs.agg(F.max("more")).first()[0]
+        if more is not None:
+            edges = _links(pairs.select("a", "b"), sets, least)
+            old, nodes = nodes, components(edges.unionByName(nodes.select(F.col("root").alias("a"), F.col("node").alias("b"))))
+            discard(old)
+            discard(edges)
+        discard(pairs)
+        if not more:
+            discard(wide)
+            return nodes
+        each *= ROUND
+
+
 def _similar_rows(docs: DataFrame, least: float, n: int, most: int) -> tuple[DataFrame, DataFrame]:
     """(doc_id, th: hash of the text, node) of every row, and (node, root) of every node; both written."""
     long_rows(docs.sparkSession)
@@ -498,21 +627,23 @@ def _similar_rows(docs: DataFrame, least: float, n: int, most: int) -> tuple[Dat
     rows = written(docs.select("doc_id", _text_hash().alias("th"), "text").mapInArrow(_noded(n), schema))
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f"fp{k}").alias("fp")) for k in range(n))))
     of_node = written(rows.select("node", "classes", each.alias("x")).select("x.k", "x.fp", "node", "classes").distinct())
-    heads = written(of_node.groupBy("k", "fp").agg(F.min(F.struct("node", "classes")).alias("x")).select("k", "fp", F.col("x.node").alias("head"), "x.classes"))
-    same = of_node.select("k", "fp", "node").join(heads, ["k", "fp"]).where("node <> head").select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b"))
-    keyed = heads.select("k", "fp", "head", "classes").mapInArrow(_keyed_all, "key int, fp long, node long, classes long")
-    found = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(most, least), "a long, b long")
-    candidates = written(same.unionByName(found).distinct())
+    keyed = of_node.mapInArrow(_keyed_all, "key int, fp long, node long, classes long")
+    found = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(most, least), "key int, fp long, a long, b long, classes long"))
     discard(of_node)
-    discard(heads)
-    touched = candidates.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    candidates = written(found.where("key is null").select("a", "b").distinct())
+    runs = written(found.where("key is not null").select("key", "fp", F.col("a").alias("node"), "classes"))
+    discard(found)
+    in_runs = runs.select("node").distinct()
+    touched = candidates.select(F.explode(F.array("a", "b")).alias("node")).unionByName(in_runs).distinct()
     sets = written(docs.select("text").mapInArrow(_sets, "node long, shingles binary").join(touched, "node", "left_semi").dropDuplicates(["node"]))
-    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    edges = written(candidates.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(least), "a long, b long"))
+    edges = _links(candidates, sets, least)
     discard(candidates)
-    discard(sets)
     nodes = components(edges)
     discard(edges)
+    if not runs.isEmpty():
+        nodes = _linked_across(runs, sets, nodes, least, most)
+    discard(runs)
+    discard(sets)
     return rows, nodes
 
 
@@ -520,7 +651,8 @@ def similar_components(docs: DataFrame, least: float = LEAST_SIMILARITY, n: int
     """(doc_id, th, component_id: smallest doc_id reachable) by links of Jaccard similarity `least` or more over five-word shingles.
 
     Candidates share a Golay key of one of n fingerprints and differ there in at most `most` bits; those that counts
-    of their shingles by class show to be less similar fall out, and each other one is verified on its whole sets. Texts of the same words are one node.
+    of their shingles by class show to be less similar fall out, and each other one is verified on its whole sets, or
+    its texts are linked already: first a few of a long run, then all between different components. Texts of the same words are one node.
     """
     rows, nodes = _similar_rows(docs, least, n, most)
     rooted = _rooted(rows, nodes, F.min("doc_id"))

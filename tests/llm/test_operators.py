@@ -634,3 +634,48 @@ def test_long_run_keeps_what_its_root_is_not_like():
     classes = np.array([simhash.classes_of(x) for x in sets])
     x, y = simhash.run_pairs(f, classes, 14, 0.8)
     assert 0 not in x and set(zip(x, y)) == {(1, j) for j in range(2, 12)}
+
+
+def test_no_candidate_of_a_long_run_is_left_out(spark):
+    """Groups in which most are like a few others only: the components are those of all candidates that are similar enough."""
+    draw = np.random.default_rng(6)
+    texts = []
+    for group in range(3):
+        base = [f"w{x}" for x in draw.integers(0, 5000, 300)]
+        for i in range(150):
+            words = list(base)
+            for j in draw.choice(300, i % 3 if i < 9 else 4 + i % 4, replace=False):
+                words[j] = f"{group}n{i}-{j}"
+            texts.append(" ".join(words))
+    sets = [simhash.shingle_set(t) for t in texts]
+    fps = np.stack([np.frombuffer(simhash.fingerprints_of(t, 4), ">u8").astype(np.uint64) for t in texts])
+    runs, a, b = {}, [], []
+    for k in range(4):
+        for row, key in zip(*simhash.keys_of(fps[:, k])):
+            runs.setdefault((k, int(key)), []).append(int(row))
+    pairs = {(k, *sorted(p)) for (k, _), rows in runs.items() for p in itertools.combinations(rows, 2)}
+    for k, x, y in pairs:
+        if np.bitwise_count(fps[x, k] ^ fps[y, k]) <= 14 and simhash.similarity(sets[x], sets[y]) >= 0.8:
+            a.append(x), b.append(y)
+    roots, nodes = simhash.forest(np.array(a), np.array(b))
+    wanted = dict(enumerate(range(len(texts)))) | dict(zip(nodes.tolist(), roots.tolist()))
+    assert max(map(len, runs.values())) > 64
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_components(d).collect()} == wanted
+
+
+def test_pairs_across_by_brute_force():
+    """All pairs between components that the counts allow; with a limit the first of each member, and a mark where there are more."""
+    draw = np.random.default_rng(7)
+    base = draw.integers(0, 1 << 32, 200).astype(np.uint32)
+    sets = [np.unique(np.concatenate([base[draw.random(200) < 0.97], draw.integers(0, 1 << 32, 8).astype(np.uint32)])) for _ in range(40)] + [np.zeros(0, np.uint32)] * 2
+    f = np.uint64(1 << 40) ^ (draw.integers(0, 1 << 18, 42).astype(np.uint64))
+    classes, wide, roots = np.array([simhash.classes_of(x) for x in sets]), np.stack([simhash.wide_classes_of(x) for x in sets]), draw.integers(0, 4, 42)
+    fit = {(i, j) for i, j in itertools.combinations(range(42), 2) if roots[i] != roots[j] and np.bitwise_count(f[i] ^ f[j]) <= 9 and min(simhash.most_similar(classes[i : i + 1], classes[j : j + 1])[0], simhash.most_similar_wide(wide[i], wide[j : j + 1])[0]) >= 0.8}
+    x, y, more = simhash.pairs_across(f, classes, wide, roots, 9, 0.8, 1000)
+    assert sorted((min(p), max(p)) for p in zip(x.tolist(), y.tolist())) == sorted(fit) and fit and not more.any()
+    x, y, more = simhash.pairs_across(f, classes, wide, roots, 9, 0.8, 2)
+    assert {(min(p), max(p)) for p in zip(x.tolist(), y.tolist())} < fit and more.any() and np.bincount(x).max() == 2
+    assert not len(simhash.pairs_across(f, classes, wide, np.zeros(42, int), 9, 0.8, 1)[0])
+    for i, j in itertools.combinations(range(42), 2):
+        assert simhash.most_similar_wide(wide[i], wide[j : j + 1])[0] >= simhash.similarity(sets[i], sets[j])

@@ -50,6 +50,7 @@ PAIRS_A_MEMBER = 4
 WIDE = 256
 #: Pairs of a member with other components that the first round takes; each further round takes that many times more.
 ROUND = 64
+_RUNS = "runs array<struct<key: int, fp: long>>"
 
 
 def fingerprints_of(text: str | None, n: int = 1, width: int = 3) -> bytes:
@@ -558,9 +559,20 @@ def _across(most: int, least: float, each: int):
 
 
 def _widened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The wide classes in the place of the set of each (node, classes, runs, shingles)."""
     for batch in batches:
-        wide = [wide_classes_of(np.frombuffer(x, np.uint32)).tobytes() for x in batch.column(1).to_pylist()]
-        yield pa.record_batch([batch.column(0), pa.array(wide, pa.binary())], names=["node", "wide"])
+        wide = [wide_classes_of(np.frombuffer(x, np.uint32)).tobytes() for x in batch.column(3).to_pylist()]
+        yield pa.record_batch([batch.column(0), batch.column(1), batch.column(2), pa.array(wide, pa.binary())], names=["node", "classes", "runs", "wide"])
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each (node, classes, root, wide, runs) once for each of its runs (key, fp)."""
+    for batch in batches:
+        runs = batch.column(4)
+        of, own = np.repeat(np.arange(len(runs)), runs.value_lengths().to_numpy(zero_copy_only=False)), runs.flatten()
+        for at in range(0, len(of), 4096):
+            row, some = pa.array(of[at : at + 4096]), own.slice(at, 4096).flatten()
+            yield pa.record_batch([*some, *(batch.column(i).take(row) for i in range(4))], names=["key", "fp", "node", "classes", "root", "wide"])
 
 
 def _similar(least: float):
@@ -595,17 +607,19 @@ def _links(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar(least), "a long, b long"))
 
 
-def _linked_across(runs: DataFrame, sets: DataFrame, nodes: DataFrame, least: float, most: int) -> DataFrame:
+def _linked_across(members: DataFrame, sets: DataFrame, nodes: DataFrame, least: float, most: int) -> DataFrame:
     """The components (node, root) after all pairs of the runs between different ones were compared.
 
+    A member (node, classes, runs) is one row with all of its runs, at most about 30 for each fingerprint: it is joined
+    once a round, and stands in each of its runs only after that.
     A member's pairs come in rounds of ROUND times as many as before, since most need none once a few have linked it;
     the last round is the one that holds none back. Pairs that were found different come again in the next round.
     """
-    wide = written(sets.join(runs.select("node").distinct(), "node", "left_semi").mapInArrow(_widened, "node long, wide binary"))
+    wide = written(members.join(sets, "node").select("node", "classes", "runs", "shingles").mapInArrow(_widened, f"node long, classes long, {_RUNS}, wide binary"))
     each = ROUND
     while True:
-        rooted = runs.join(nodes, "node", "left").withColumn("root", F.coalesce("root", "node")).join(wide, "node")
-        keyed = rooted.select("key", "fp", "node", "classes", "root", "wide").repartition("key").sortWithinPartitions("key")
+        rooted = wide.join(nodes, "node", "left").select("node", "classes", F.coalesce("root", "node").alias("root"), "wide", "runs")
+        keyed = rooted.mapInArrow(_spread, "key int, fp long, node long, classes long, root long, wide binary").repartition("key").sortWithinPartitions("key")
         pairs = written(keyed.mapInArrow(_across(most, least, each), "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")))
         more = pairs.agg(F.max("more")).first()[0]
         if more is not None:
@@ -631,18 +645,18 @@ def _similar_rows(docs: DataFrame, least: float, n: int, most: int) -> tuple[Dat
     found = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_pairs(most, least), "key int, fp long, a long, b long, classes long"))
     discard(of_node)
     candidates = written(found.where("key is null").select("a", "b").distinct())
-    runs = written(found.where("key is not null").select("key", "fp", F.col("a").alias("node"), "classes"))
+    runs = found.where("key is not null").select(F.col("a").alias("node"), "classes", F.struct("key", "fp").alias("run"))
+    members = written(runs.groupBy("node", "classes").agg(F.collect_list("run").alias("runs")))
     discard(found)
-    in_runs = runs.select("node").distinct()
-    touched = candidates.select(F.explode(F.array("a", "b")).alias("node")).unionByName(in_runs).distinct()
+    touched = candidates.select(F.explode(F.array("a", "b")).alias("node")).unionByName(members.select("node")).distinct()
     sets = written(docs.select("text").mapInArrow(_sets, "node long, shingles binary").join(touched, "node", "left_semi").dropDuplicates(["node"]))
     edges = _links(candidates, sets, least)
     discard(candidates)
     nodes = components(edges)
     discard(edges)
-    if not runs.isEmpty():
-        nodes = _linked_across(runs, sets, nodes, least, most)
-    discard(runs)
+    if not members.isEmpty():
+        nodes = _linked_across(members, sets, nodes, least, most)
+    discard(members)
     discard(sets)
     return rows, nodes
 

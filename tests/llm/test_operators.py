@@ -679,3 +679,37 @@ def test_pairs_across_by_brute_force():
     assert not len(simhash.pairs_across(f, classes, wide, np.zeros(42, int), 9, 0.8, 1)[0])
     for i, j in itertools.combinations(range(42), 2):
         assert simhash.most_similar_wide(wide[i], wide[j : j + 1])[0] >= simhash.similarity(sets[i], sets[j])
+
+
+def test_large_group_is_joined_once_a_text(spark, monkeypatch):
+    """A text in many runs meets its component, its set and its first document in one row each: no join on nodes gives more rows than there are texts."""
+    draw = np.random.default_rng(9)
+    base = [f"w{x}" for x in draw.integers(0, 5000, 300)]
+    texts = []
+    for i in range(160):
+        words = list(base)
+        for j in draw.choice(300, 2 + i % 6, replace=False):
+            words[j] = f"n{i}-{j}"
+        texts.append(" ".join(words))
+    d, made = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), []
+    plain, across = type(d).join, simhash._linked_across
+
+    def join(self, other, on=None, how=None):
+        out = plain(self, other, on, how)
+        if isinstance(on, str) and on == "node":
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(d), "join", join)
+    monkeypatch.setattr(simhash, "_linked_across", lambda *a: made.append("across") or across(*a))
+    simhash.keep_one(d)
+    assert "across" in made and max(x for x in made if x != "across") <= len(texts)
+
+
+def test_members_spread_over_their_runs():
+    """Each member stands in each of its runs with its own columns, in sliced batches and over several pieces as well."""
+    runs = [[{"key": 1000 * i + j, "fp": i - j} for j in range(i % 7 * 300)] for i in range(12)]
+    kinds = [("node", pa.int64()), ("classes", pa.int64()), ("root", pa.int64()), ("wide", pa.binary()), ("runs", pa.list_(pa.struct([("key", pa.int32()), ("fp", pa.int64())])))]
+    batch = pa.RecordBatch.from_pylist([{"node": i, "classes": -i, "root": i // 2, "wide": bytes([i]), "runs": x} for i, x in enumerate(runs)], pa.schema(kinds))
+    got = [r for b in simhash._spread(iter([batch.slice(0, 0), batch.slice(2, 9), batch.slice(11)])) for r in b.to_pylist()]
+    assert len(got) > 4096 and got == [{**run, "node": i, "classes": -i, "root": i // 2, "wide": bytes([i])} for i in range(2, 12) for run in runs[i]]
